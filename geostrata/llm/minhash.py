@@ -6,11 +6,11 @@ but one in a thousand such pairs stay under. The signature is split into chunks
 pigeonhole principle, every pair within the bound has a chunk with at most ``ERRORS`` errors; for
 each chunk all such errors are enumerated (each place left out in turn), and equal keys meet.
 
-Documents with equal sets are one class from the start. In each bucket every class is first
-compared with the smallest one, which joins groups of near copies by as many comparisons as they
-have members. Only buckets of three or more classes that still hold two components go on: there
-all pairs across components within the signature distance are compared, in blocks of bounded
-size. Every candidate is confirmed on the full shingle sets.
+Documents with equal sets are one class from the start. Buckets tell which classes lie within the
+signature distance of each other; of those pairs only a spanning forest is passed on, so a group
+of thousands of near copies costs as many rows as it has members. Inside each component of the
+forests all pairs are decided on the full shingle sets by matrix products over parts of bounded
+size, and again only a forest of the links leaves a task.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from geostrata.runtime import checkpoint
 
 SHINGLE, THRESHOLD = 5, 80
 SYMBOLS, ERRORS = 64, 1
-#: Classes of a bucket that one task compares with each other at a time.
-BLOCK = 2_000
+#: Classes of a bucket, and documents of a candidate component, that one task compares at a time.
+BLOCK, PART = 2_000, 1_000
 #: Documents whose ids are broadcast to pick their texts; more are joined by a shuffle.
 PICK_IDS = 300_000
 
@@ -138,86 +138,92 @@ def bucket_keys(classes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(kernel, "key long, rep long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, bound: int) -> DataFrame:
-    """The pairs whose signatures differ in at most ``bound`` symbols."""
+def _dealt(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """``rows`` dealt to groups (key, i, j): a key's rows are cut into parts by hash, and each pair of parts is a group.
 
-    def kernel(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-                yield b.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= bound))
+    ``part`` is a row's own part, so a group never holds more than two parts of about ``block`` rows.
+    """
+    own = rows.withColumn("parts", F.ceil(F.col(size) / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
 
-    sig = classes.select("rep", "sig")
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(kernel, "a long, b long")
 
+def _groups(columns: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Limits of the runs of rows that agree in all columns."""
+    change = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    cuts = np.flatnonzero(np.concatenate(([True], change, [True]))).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach ``threshold`` %.
 
-    Of ids on several rows any text may stand for the id.
-    """
-    pairs = checkpoint(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    ids = checkpoint(ends.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text")
-    if ids.count() <= PICK_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = ends.join(texts, "doc_id").select("a", "b", (F.col("doc_id") == F.col("a")).alias("first"), "text")
-    grouped = sides.repartition(n, "a", "b").sortWithinPartitions("a", "b", "first")
+class _Forest:
+    """Components of 0..n-1 while links come in; ``root`` is the smallest member of each one's component."""
 
-    def kernel(batches):
-        for t in whole_groups(batches, ["a", "b"], 400):
-            a, b, first = t["a"].to_numpy(), t["b"].to_numpy(), t["first"].to_numpy(zero_copy_only=False)
-            sets = []
-            for _, data, offsets in blocks(t["text"]):
-                own, cuts = shingle_sets(data, offsets, size)
-                sets += [own[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1)]
-            change = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]))
-            cuts, good = np.flatnonzero(change), []
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for x in range(i, j):
-                    if first[x] or (good and good[-1] == i):
-                        continue
-                    for y in range(i, j):
-                        if first[y]:
-                            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                            if common and 100 * common >= threshold * (len(sets[x]) + len(sets[y]) - common):
-                                good.append(i)
-                                break
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    return checkpoint(grouped.mapInArrow(kernel, "a long, b long"))
+    def join(self, members: np.ndarray) -> None:
+        """Make one component of the components of ``members``."""
+        roots = np.unique(self.root[members])
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
 
+    def edges(self, names: np.ndarray) -> np.ndarray:
+        own = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return np.column_stack([names[self.root[own]], names[own]])
 
-def _across(buckets: DataFrame, bound: int) -> DataFrame:
-    """Pairs of one bucket (key, rep, component, sig, n) in different components and within ``bound``.
 
-    A bucket of n classes is cut into ceil(n / BLOCK) parts by hash and each pair of parts is a
-    group of its own, so a task never holds more than two parts.
+def _near_forest(sig: np.ndarray, left: np.ndarray, right: np.ndarray | None, bound: int) -> _Forest:
+    """Components of signatures within ``bound``: among ``left``, or between ``left`` and ``right``.
+
+    Rows near the first of ``left`` are linked through it; only rows that aren't near it are
+    compared with all others. Between two parts, what is near the first on either side is linked
+    through it too, as the groups of single parts tell.
+    """
+    forest = _Forest(len(sig))
+    near = lambda x, others: others[(sig[others] != sig[x]).sum(1) <= bound]
+    lead = left[0]
+    at_lead = near(lead, left)
+    if right is None:
+        forest.join(at_lead)
+        for x in np.setdiff1d(left, at_lead).tolist():
+            forest.join(near(x, left))
+        return forest
+    to_lead = near(lead, right)
+    forest.join(np.append(to_lead, lead))
+    for x in np.setdiff1d(left, at_lead).tolist():
+        forest.join(np.append(near(x, right), x))
+    for x in np.setdiff1d(right, to_lead).tolist():
+        forest.join(np.append(near(x, left), x))
+    return forest
+
+
+def candidates(buckets: DataFrame, bound: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): a forest of the classes of each bucket (key, rep, sig, n) whose signatures lie within ``bound``.
+
+    Its components over all buckets are those of all pairs within the bound, since each such pair
+    meets in some bucket.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = buckets.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component", "sig")
+    keys = ["key", "i", "j"]
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = _dealt(buckets, "key", "n", block).select(*keys, "part", "rep", "sig").repartition(n, *keys).sortWithinPartitions(*keys, "rep")
 
     def kernel(batches):
-        for t in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, part, rep, comp = (t[c].to_numpy() for c in ("key", "i", "j", "part", "rep", "component"))
+        for t in whole_groups(batches, keys):
+            key, i, j, part, rep = (t[c].to_numpy() for c in (*keys, "part", "rep"))
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
             found = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(part[a:b] == i[a])
-                right = left if i[a] == j[a] else a + np.flatnonzero(part[a:b] == j[a])
-                for x in left.tolist():
-                    y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i[a] != j[a]))]
-                    y = y[(sig[y] != sig[x]).sum(1) <= bound]
-                    if len(y):
-                        found.append(np.column_stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])]))
+            for a, b in _groups([key, i, j]):
+                if b - a < 2:
+                    continue
+                if i[a] == j[a]:
+                    left, right = np.arange(b - a), None
+                else:
+                    left, right = np.flatnonzero(part[a:b] == i[a]), np.flatnonzero(part[a:b] == j[a])
+                    if not len(left) or not len(right):
+                        continue
+                found.append(_near_forest(sig[a:b], left, right, bound).edges(rep[a:b]))
             if found:
                 out = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
@@ -225,6 +231,100 @@ def _across(buckets: DataFrame, bound: int) -> DataFrame:
     return dealt.mapInArrow(kernel, "a long, b long").distinct()
 
 
+def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int, slice_: int = 4096) -> np.ndarray:
+    """Whether each of ``left`` and each of ``right`` reach ``threshold`` %: common shingles counted by matrix products."""
+    sizes = np.array([len(x) for x in sets])
+    used = np.union1d(left, right)
+    joined = np.concatenate([sets[i] for i in used])
+    names, counts = np.unique(joined, return_counts=True)
+    names = names[counts > 1]
+    common = np.zeros((len(left), len(right)), np.float32)
+    spot = np.full(len(sets), -1)
+    spot[used] = np.arange(len(used))
+    row = np.repeat(np.arange(len(used)), sizes[used])
+    at = np.searchsorted(names, joined)
+    at[at == len(names)] = 0
+    good = names[at] == joined if len(names) else np.zeros(len(joined), bool)
+    row, at = row[good], at[good]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for first in range(0, len(names), slice_):
+        a, b = np.searchsorted(at, [first, first + slice_])
+        m = np.zeros((len(used), min(slice_, len(names) - first)), np.float32)
+        m[row[a:b], at[a:b] - first] = 1
+        common += m[spot[left]] @ m[spot[right]].T
+    common = common.astype(np.int64)
+    return (common > 0) & (100 * common >= threshold * (sizes[left][:, None] + sizes[right][None, :] - common))
+
+
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``ids`` (rep, ...) with the texts of those documents; a small table of ids is broadcast, by its count."""
+    few = ids.count() <= PICK_IDS
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    return texts.join(F.broadcast(ids) if few else ids, "rep")
+
+
+def _linked(rows: DataFrame, keys: list[str], size: int, threshold: int, between: bool) -> DataFrame:
+    """(a, b): a forest of the links inside each group of rows (keys, rep, text), or between its two ``side``s."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*keys, "rep", "text", *(["side"] if between else [])]
+    dealt = rows.select(*columns).repartition(n, *keys).sortWithinPartitions(*keys, "rep")
+
+    def kernel(batches):
+        for t in whole_groups(batches, keys, 300):
+            columns, rep, sets = [t[c].to_numpy() for c in keys], t["rep"].to_numpy(), []
+            for _, data, offsets in blocks(t["text"]):
+                own, cuts = shingle_sets(data, offsets, size)
+                sets += [own[cuts[i] : cuts[i + 1]] for i in range(len(cuts) - 1)]
+            side = t["side"].to_numpy(zero_copy_only=False) if between else None
+            found = []
+            for a, b in _groups(columns):
+                left = np.flatnonzero(side[a:b]) if between else np.arange(b - a)
+                right = np.flatnonzero(~side[a:b]) if between else left
+                if b - a < 2 or not len(left) or not len(right):
+                    continue
+                yes, forest = similar(sets[a:b], left, right, threshold), _Forest(b - a)
+                for x in np.flatnonzero(yes.any(1)).tolist():
+                    forest.join(np.append(right[yes[x]], left[x]))
+                found.append(forest.edges(rep[a:b]))
+            if found:
+                out = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
+
+    return dealt.mapInArrow(kernel, "a long, b long").where("a <> b").distinct()
+
+
+def links(members: DataFrame, docs: DataFrame, size: int, threshold: int, block: int = PART) -> DataFrame:
+    """(a, b): a forest of all links inside each candidate component (rep, component), confirmed on full shingle sets.
+
+    A component is cut into parts of about ``block`` documents. First all pairs inside each part
+    are decided, and all pairs with the component's first document. What is then linked with most
+    of a component is its core; where a component of several parts has other documents, those are
+    decided against all of it, part by part. Of ids on several rows any text may stand for the id.
+    """
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    own = members.join(sizes, "component").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own = checkpoint(own.where("n > 1").select("rep", "component", "parts", "part"))
+    lead = F.when(F.col("rep") == F.col("component"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    with_text = _texts(own, docs)
+    inside = checkpoint(_linked(with_text.withColumn("part", F.explode(lead)), ["component", "part"], size, threshold, False))
+    large = own.where("parts > 1")
+    if large.limit(1).count() == 0:
+        return inside
+    now = connected_components(inside).select(F.col("node").alias("rep"), F.col("component").alias("now"))
+    large = large.join(now, "rep", "left").withColumn("now", F.coalesce("now", "rep"))
+    core = large.groupBy("component", "now").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("now", F.struct("n", "now")).alias("core"))
+    large = checkpoint(large.join(core, "component").withColumn("other", F.col("now") != F.col("core")))
+    others = large.where("other").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("lots"))
+    large = large.join(others, "component")
+    # a group: one part of a component and one lot of its other documents
+    every = large.select("rep", "component", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("j"), F.lit(False).alias("side"))
+    rest = large.where("other").select("rep", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.hash("rep"), F.col("lots")).cast("int").alias("j"), F.lit(True).alias("side"))
+    ids = checkpoint(every.unionByName(rest).groupBy("rep", "component").agg(F.collect_list(F.struct("i", "j", "side")).alias("to")))
+    dealt = _texts(ids, docs).select("rep", "component", "text", F.explode("to").alias("t")).select("rep", "component", "text", "t.*")
+    return inside.unionByName(checkpoint(_linked(dealt, ["component", "i", "j"], size, threshold, True)))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -243,20 +343,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 
     bound = distance_bound(threshold)
     keys = bucket_keys(classes, chunks(bound))
-    leaders = checkpoint(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = keys.join(leaders, "key")
-    star = met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirm(_near(star, one, bound), docs, size, threshold)
-
-    component = connected_components(links)
-    labelled = met.where("n > 2").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    labelled = checkpoint(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(mixed, "key").join(one, "rep")
-    across = _across(rest, bound).join(star, ["a", "b"], "left_anti")
-    more = confirm(across, docs, size, threshold)
-
-    final = connected_components(links.unionByName(more))
+    shared = checkpoint(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = keys.join(shared, "key").join(one, "rep")
+    near = connected_components(candidates(buckets, bound))
+    confirmed = links(checkpoint(near.select(F.col("node").alias("rep"), "component")), docs, size, threshold)
+
+    final = connected_components(confirmed)
     by_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("own"))
     lowest = by_class
     if repeated.limit(1).count():  # an id on rows with different texts links their classes
