@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.geo import in_multi_polygon
 from geostrata.operators.pass2 import Options, Pass2, subcluster
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 
 #: Most tiles along one side of the areas' extent.
 TILES = 64

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geostrata.operators.components import connected_components
 from geostrata.operators.ranking import numbered
 from geostrata.operators.spatial import _col, around, range_pairs
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 
 # Fixed values of the data model: labels of points outside clusters.
 UNVISITED, NOISE, FILTERED = 0, -1, -2

@@ -17,7 +17,8 @@ from geostrata.operators.components import connected_components
 from geostrata.operators.dbscan import NOISE
 from geostrata.operators.spatial import _col, range_pairs
 from geostrata.operators.trees import density_clusters
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
+from geostrata.runtime import fresh
 
 # Fewest candidate edges of a point, and the least reachability in metres.
 MIN_EDGES, MIN_REACH_M = 16, 1.0
@@ -75,7 +76,7 @@ def hdbscan(points: DataFrame, min_cluster_size: float, min_samples: float, max_
     fields = "".join(f"{k} {points.schema[k].dataType.simpleString()}, " for k in keys)
     linked = members.join(comp.select(*keys, "idx"), [*keys, "idx"], "left_semi")
     schema = f"{fields}idx {points.schema['idx'].dataType.simpleString()}, comp {points.schema['idx'].dataType.simpleString()}, seq int, birth double"
-    chosen = checkpoint(linked.groupBy(*keys, "comp").cogroup(own.groupBy(*keys, "comp")).applyInPandas(kernel, schema).unionByName(alone.select(*keys, "idx", "comp", F.col("seq").cast("int").alias("seq"), "birth")))
+    chosen = checkpoint(fresh(linked).groupBy(*keys, "comp").cogroup(fresh(own).groupBy(*keys, "comp")).applyInPandas(kernel, schema).unionByName(alone.select(*keys, "idx", "comp", F.col("seq").cast("int").alias("seq"), "birth")))
     clusters = chosen.where("seq >= 0").select(*keys, "comp", "seq", "birth").distinct()
     # as created: all roots by component, then the rest of the last component first
     root = F.col("seq") == 0

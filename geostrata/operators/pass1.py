@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geostrata.functions.geo import frame_of, project
 from geostrata.operators.dbscan import FILTERED, NOISE, dbscan
 from geostrata.operators.hdbscan import hdbscan
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 from geostrata.sources.raster import Filter, Raster, apply_filters, outside_counts, weights
 
 

@@ -12,7 +12,7 @@ from geostrata.operators.dbscan import NOISE, dbscan
 from geostrata.operators.hdbscan import hdbscan
 from geostrata.operators.regions import DEFAULT_KNN, regions
 from geostrata.operators.spatial import kth_distance
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 
 #: Fixed value: a hierarchical split of a band links at this multiple of the cluster's distance.
 LINK_FACTOR = 4

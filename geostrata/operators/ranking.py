@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 
 
 def numbered(df: DataFrame, order: list, out: str = "rn") -> DataFrame:

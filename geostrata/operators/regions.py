@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geostrata.operators.spatial import k_nearest
 from geostrata.operators.trees import Sets, spanning_forest
+from geostrata.runtime import fresh
 
 #: Neighbours of a point in the graph.
 DEFAULT_KNN = 8
@@ -44,4 +45,4 @@ def regions(points: DataFrame, value: str, keys: list[str], target: int, knn: in
         return out
 
     fields = "".join(f"{k} {points.schema[k].dataType.simpleString()}, " for k in keys)
-    return points.select(*keys, "idx").groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(kernel, f"{fields}idx {points.schema['idx'].dataType.simpleString()}, region int")
+    return fresh(points.select(*keys, "idx")).groupBy(*keys).cogroup(fresh(edges).groupBy(*keys)).applyInPandas(kernel, f"{fields}idx {points.schema['idx'].dataType.simpleString()}, region int")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 
 
 class RadiusError(ValueError):

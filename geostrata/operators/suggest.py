@@ -9,7 +9,7 @@ from geostrata.functions.geo import project
 from geostrata.operators.dbscan import NOISE, dbscan
 from geostrata.operators.ranking import numbered
 from geostrata.operators.spatial import kth_distance
-from geostrata.runtime import checkpoint
+from geostrata.runtime import cut as checkpoint
 
 # Fixed values of the guard: largest share allowed, factor of a step, noise allowed, most steps.
 DOMINANCE_SHARE, STEP_FACTOR, NOISE_CAP, MAX_STEPS = 0.5, 0.8, 0.25, 10

@@ -45,7 +45,7 @@ def features(pass2: Pass2, points: DataFrame, located: DataFrame | None = None,
         out = out.withColumn("admin_units", none("array<string>")).withColumn("straddle", F.lit(False))
     last = F.col("kind") == "last_mile"
     w = F.struct(last.cast("int").alias("a"), F.coalesce("parent_cluster_id", F.lit(0)).alias("b"), (F.col("kind") == "unknown").cast("int").alias("c"), F.coalesce("band", F.lit(-1)).alias("d"), F.col("scattered").cast("int").alias("e"), F.coalesce("seq", F.lit(0)).alias("f"))
-    return out.drop("seq").withColumn("ord", w)
+    return out.withColumn("ord", w).drop("seq")
 
 
 def boundaries(labels: DataFrame, clusters: DataFrame, points: DataFrame, cluster_tightness_km: float, pass2: Pass2 | None = None, buffer_m: float = 0) -> DataFrame:

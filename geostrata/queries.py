@@ -49,7 +49,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster(spark: SparkSession, sf_dir: str) -> Raster:
     """Prices of parts laid out in 40 columns over the points' extent; every 37th has no data."""
     cells = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("row"), (F.col("p_partkey") % 40).alias("col"), F.when(F.col("p_partkey") % 37 == 0, -9999.0).otherwise(F.floor("p_retailprice").cast("double")).alias("value"))
-    return Raster("price", cells, 40, 500, 30.0, 6.0, 0.15, -0.15, nodata=-9999.0)
+    return Raster("price", cells, 40, 500, 30.6, 6.0, 0.15, -0.15, nodata=-9999.0)
 
 
 RASTER_SQL = "SELECT p_partkey // 40 AS r, p_partkey % 40 AS c, floor(p_retailprice) AS value FROM part WHERE p_partkey % 37 <> 0"
@@ -152,12 +152,12 @@ def q_raster_sample(spark, sf_dir):
 
 def q_raster_filter(spark, sf_dir):
     r = raster(spark, sf_dir)
-    return apply_filters(points(spark, sf_dir), [Filter(r, ">=", 1000.0), Filter(r, "<=", 1900.0)]).where("keep").select("idx")
+    return apply_filters(points(spark, sf_dir), [Filter(r, ">=", 910.0), Filter(r, "<=", 990.0)]).where("keep").select("idx")
 
 
 def q_raster_outside(spark, sf_dir):
     r = raster(spark, sf_dir)
-    return outside_counts(apply_filters(points(spark, sf_dir), [Filter(r, "<=", 1500.0), Filter(r, ">=", 0.0)]))
+    return outside_counts(apply_filters(points(spark, sf_dir), [Filter(r, "<=", 950.0), Filter(r, ">=", 0.0)]))
 
 
 def q_raster_people(spark, sf_dir):
@@ -240,6 +240,10 @@ def q_subareas(spark, sf_dir):
     return _subarea_rows(_pass2(spark, sf_dir)[2].subareas)
 
 
+def q_subareas_two_bands(spark, sf_dir):
+    return _subarea_rows(_pass2(spark, sf_dir, banding=breaks.Banding(max_bands=2), eps2_override_km=1.5)[2].subareas)
+
+
 def q_subareas_hdbscan(spark, sf_dir):
     return _subarea_rows(_pass2(spark, sf_dir, respatialise="hdbscan")[2].subareas)
 
@@ -311,7 +315,7 @@ QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith
 
 _STATS = "round(coalesce(sum(population), 0), 2) AS population, round(CASE WHEN sum(CASE WHEN ability IS NOT NULL THEN population END) > 0 THEN sum(population * ability) / sum(CASE WHEN ability IS NOT NULL THEN population END) END, 6) AS mean_ability, count(*) FILTER (population IS NULL) AS missing_pop"
 _KNN = "kn AS (SELECT a.idx, b.idx AS other, (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m) AS d2, row_number() OVER (PARTITION BY a.idx ORDER BY (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m), b.idx) AS rank FROM p a JOIN p b ON a.idx <> b.idx) "
-_SAMPLE = f"rs AS ({RASTER_SQL}), s AS (SELECT p.idx, p.lon, p.lat, rs.value, CAST(floor((p.lat - 6.0) / -0.15) AS BIGINT) BETWEEN 0 AND 499 AND CAST(floor((p.lon - 30.0) / 0.15) AS BIGINT) BETWEEN 0 AND 39 AS covered FROM p LEFT JOIN rs ON rs.r = CAST(floor((p.lat - 6.0) / -0.15) AS BIGINT) AND rs.c = CAST(floor((p.lon - 30.0) / 0.15) AS BIGINT) AND CAST(floor((p.lon - 30.0) / 0.15) AS BIGINT) BETWEEN 0 AND 39) "
+_SAMPLE = f"rs AS ({RASTER_SQL}), s AS (SELECT p.idx, p.lon, p.lat, rs.value, CAST(floor((p.lat - 6.0) / -0.15) AS BIGINT) BETWEEN 0 AND 499 AND CAST(floor((p.lon - 30.6) / 0.15) AS BIGINT) BETWEEN 0 AND 39 AS covered FROM p LEFT JOIN rs ON rs.r = CAST(floor((p.lat - 6.0) / -0.15) AS BIGINT) AND rs.c = CAST(floor((p.lon - 30.6) / 0.15) AS BIGINT) AND CAST(floor((p.lon - 30.6) / 0.15) AS BIGINT) BETWEEN 0 AND 39) "
 # the best single cut of each group's sorted values: both classes at least 5 values
 _JENKS = """b AS (SELECT nk AS parent, floor(ability * 20) AS value FROM p WHERE ability IS NOT NULL),
   o AS (SELECT parent, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY parent) AS n, sum(value) OVER w AS s1, sum(value * value) OVER w AS s2, sum(value) OVER (PARTITION BY parent) AS t1, sum(value * value) OVER (PARTITION BY parent) AS t2, max(value) OVER (PARTITION BY parent) - min(value) OVER (PARTITION BY parent) AS spread FROM b WINDOW w AS (PARTITION BY parent ORDER BY value ROWS UNBOUNDED PRECEDING)),
@@ -319,7 +323,26 @@ _JENKS = """b AS (SELECT nk AS parent, floor(ability * 20) AS value FROM p WHERE
   fit AS (SELECT cut.*, (SELECT count(*) FROM b WHERE b.parent = cut.parent AND b.value <= edge) AS low FROM cut),
   jk AS (SELECT parent, CASE WHEN spread > 0 AND n >= 10 AND low >= 5 AND n - low >= 5 THEN 2 ELSE 1 END AS k, edge, n, spread FROM fit) """
 
+# pass 2 with two bands at most and one distance: the cut of each cluster, then clusters of each band
+_TWO = """, b AS (SELECT p.idx, label AS parent, ability AS value, population, ability, x_m, y_m FROM p JOIN lab USING (idx) WHERE label >= 1 AND ability IS NOT NULL),""" + _JENKS[_JENKS.index("\n"):] + """,
+  m AS (SELECT b.*, k, CASE WHEN k = 2 AND value > edge THEN 1 ELSE 0 END AS band FROM b JOIN jk USING (parent)),
+  n2 AS (SELECT a.parent, a.band, a.idx, o.idx AS other FROM m a JOIN m o ON a.parent = o.parent AND a.band = o.band AND (o.x_m - a.x_m) * (o.x_m - a.x_m) + (o.y_m - a.y_m) * (o.y_m - a.y_m) <= 1500.0 * 1500.0),
+  c2 AS (SELECT parent, band, idx FROM n2 GROUP BY ALL HAVING count(*) >= 4),
+  e2 AS (SELECT n2.* FROM n2 JOIN c2 x ON x.idx = n2.idx JOIN c2 y ON y.idx = n2.other),
+  r2(idx, c) AS (SELECT idx, idx FROM c2 UNION SELECT e2.other, r2.c FROM r2 JOIN e2 ON e2.idx = r2.idx WHERE r2.c < e2.other),
+  q2 AS (SELECT idx, min(c) AS c FROM r2 GROUP BY idx),
+  i2 AS (SELECT idx, dense_rank() OVER (PARTITION BY parent, band ORDER BY c) AS s FROM q2 JOIN c2 USING (idx)),
+  d2 AS (SELECT n2.idx, min(s) AS s FROM n2 JOIN i2 ON i2.idx = n2.other GROUP BY n2.idx),
+  g AS (SELECT m.*, CASE WHEN k = 1 THEN 1 ELSE s END AS s, min(value) OVER (PARTITION BY parent, band) AS range_min, max(value) OVER (PARTITION BY parent, band) AS range_max FROM m LEFT JOIN d2 USING (idx)) """
+_AREAS = f", l AS ({LOCATED_SQL}), t AS (SELECT label AS id, unit_idx, count(*) AS n FROM lab JOIN l USING (idx) WHERE label >= 1 GROUP BY ALL), tt AS (SELECT id, sum(n) AS total, coalesce(sum(n) FILTER (unit_idx < 0), 0) AS outside, count(*) FILTER (unit_idx >= 0) AS areas, max(n) FILTER (unit_idx >= 0) AS best FROM t GROUP BY id), w AS (SELECT tt.*, (SELECT min(unit_idx) FROM t WHERE t.id = tt.id AND unit_idx >= 0 AND t.n = tt.best) AS unit FROM tt), b0 AS (SELECT w.id, (SELECT min(idx) FROM lab WHERE label = w.id) AS f, CASE WHEN best IS NULL OR best < outside THEN 'Cluster ' || w.id ELSE n_name || CASE WHEN 2 * best < total AND areas > 1 THEN CASE WHEN areas = 2 THEN ' and 1 more area' ELSE ' and ' || (areas - 1) || ' more areas' END ELSE '' END END AS base FROM w LEFT JOIN nation ON n_nationkey = w.unit) "
+_HEX = "printf('%02x', CAST(floor({a} + {b} * t + 0.5) AS INT))"
+
 ORACLE_SQL = {
+    "subareas_two_bands": f"{_P}{DB_SQL}{_TWO} SELECT parent, parent || '-b' || band || '-' || CASE WHEN s IS NULL THEN 'scattered' ELSE 's' || s END AS group_id, band, s IS NULL AS scattered, range_min, range_max, {_STATS}, count(*) AS point_count FROM g GROUP BY parent, band, s, range_min, range_max",
+    "unknown_groups": f"{_P}{DB_SQL}, u AS (SELECT p.*, label FROM p JOIN lab USING (idx)) SELECT label || '-unknown' AS group_id, 'unknown' AS kind, label AS parent, count(*) AS point_count, {_STATS} FROM u WHERE label >= 1 AND ability IS NULL GROUP BY label UNION ALL SELECT 'last-mile', 'last_mile', NULL, count(*), {_STATS} FROM u WHERE label = -1 HAVING count(*) > 0",
+    "cluster_names": f"{_P}{DB_SQL}{_AREAS} SELECT id, base || CASE WHEN row_number() OVER (PARTITION BY base ORDER BY f) > 1 THEN ' ' || row_number() OVER (PARTITION BY base ORDER BY f) ELSE '' END AS name FROM b0",
+    "split_pieces": f"{_P}{DB_SQL}, l AS ({LOCATED_SQL}) SELECT '1@' || coalesce(n_nationkey::VARCHAR, 'outside') AS piece_key, n_name AS name, count(*) AS n FROM lab JOIN l USING (idx) LEFT JOIN nation ON n_nationkey = unit_idx WHERE label = 1 GROUP BY ALL",
+    "absolute_colour": f"{_P} a AS (SELECT nk, round(avg(ability), 3) AS mean_ability FROM p GROUP BY nk), t AS (SELECT *, (mean_ability - min(mean_ability) OVER ()) / nullif(max(mean_ability) OVER () - min(mean_ability) OVER (), 0) AS t FROM a) SELECT nk, mean_ability, CASE WHEN mean_ability IS NULL THEN '#c9ccce' ELSE '#' || {_HEX.format(a=234, b=22 - 234)} || {_HEX.format(a=241, b=74 - 241)} || {_HEX.format(a=245, b=104 - 245)} END AS fill FROM t",
     "project_points": f"{_P} f AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM p) SELECT idx, round((lon - lon0) * (pi() / 180) * 6371000.0 * cos(lat0 * (pi() / 180)), 1) AS x, round((lat - lat0) * (pi() / 180) * 6371000.0, 1) AS y FROM p, f",
     "neighbour_counts": f"{_P}{NB_SQL} z AS (SELECT 1) SELECT idx, count(*) AS n FROM nb GROUP BY idx",
     "core_points_weighted": f"{_P}{NB_SQL} z AS (SELECT 1) SELECT idx FROM nb GROUP BY idx HAVING sum(coalesce(pop, 0)) >= 20000",
@@ -333,10 +356,10 @@ ORACLE_SQL = {
     "nearest_cluster": f"{_P}{DB_SQL}, q AS (SELECT * FROM p JOIN lab USING (idx)) SELECT a.idx, arg_min(b.idx, struct_pack(d := (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m), i := b.idx)) AS other, min((b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m)) AS d2 FROM q a, q b WHERE a.label = -1 AND b.label >= 1 GROUP BY a.idx",
     "last_mile_facts": f"{_P}{DB_SQL}, q AS (SELECT * FROM p JOIN lab USING (idx)), d AS (SELECT a.idx, sqrt(min((b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m))) / 1000 AS km FROM q a, q b WHERE a.label = -1 AND b.label >= 1 GROUP BY a.idx) SELECT (SELECT count(*) FROM q WHERE label = -1) AS n, round((SELECT avg(CASE WHEN label = -1 THEN 1.0::DOUBLE ELSE 0 END) FROM q), 9) AS share, round(quantile_disc(km, 0.5), 6) AS median_km, round(quantile_disc(km, 0.9), 6) AS p90_km, round(avg(CASE WHEN km <= 4 THEN 1.0::DOUBLE ELSE 0 END), 9) AS near_miss_share, round((SELECT sum(population) FROM q WHERE label = -1), 2) AS last_mile_population, round((SELECT sum(population * ability) / sum(population) FILTER (ability IS NOT NULL) FROM q WHERE label >= 1), 6) AS clustered_mean_ability FROM d",
     "raster_sample": f"{_P}{_SAMPLE} SELECT idx, value, covered FROM s",
-    "raster_filter": f"{_P}{_SAMPLE} SELECT idx FROM s WHERE coalesce(value, 0) >= 1000 AND coalesce(value, 0) <= 1900",
-    "raster_outside": f"{_P}{_SAMPLE} SELECT 'price' AS raster, sum(CASE WHEN coalesce(value, 0) <= 1500 THEN 2 ELSE 1 END)::BIGINT AS n FROM s WHERE NOT covered HAVING count(*) > 0",
+    "raster_filter": f"{_P}{_SAMPLE} SELECT idx FROM s WHERE coalesce(value, 0) >= 910 AND coalesce(value, 0) <= 990",
+    "raster_outside": f"{_P}{_SAMPLE} SELECT 'price' AS raster, sum(CASE WHEN coalesce(value, 0) <= 950 THEN 2 ELSE 1 END)::BIGINT AS n FROM s WHERE NOT covered HAVING count(*) > 0",
     "raster_people": f"{_P}{_SAMPLE} SELECT idx, coalesce(value, 0) AS people FROM s",
-    "raster_allocate": f"{_P} rs AS ({RASTER_SQL}), cell AS (SELECT r * 40 + c AS ci, round((30.0::DOUBLE + (c + 0.5) * 0.15::DOUBLE - 30) * 100000, 3) AS x, round((6.0::DOUBLE + (r + 0.5) * (-0.15)::DOUBLE) * 100000, 3) AS y, value FROM rs WHERE value > 0), m AS (SELECT ci, any_value(value) AS value, arg_min(p.idx, struct_pack(d := (p.x_m - x) * (p.x_m - x) + (p.y_m - y) * (p.y_m - y), i := p.idx)) AS idx FROM cell, p GROUP BY ci) SELECT idx, sum(value) AS people FROM m GROUP BY idx",
+    "raster_allocate": f"{_P} rs AS ({RASTER_SQL}), cell AS (SELECT r * 40 + c AS ci, round((30.6::DOUBLE + (c + 0.5) * 0.15::DOUBLE - 30) * 100000, 3) AS x, round((6.0::DOUBLE + (r + 0.5) * (-0.15)::DOUBLE) * 100000, 3) AS y, value FROM rs WHERE value > 0), m AS (SELECT ci, any_value(value) AS value, arg_min(p.idx, struct_pack(d := (p.x_m - x) * (p.x_m - x) + (p.y_m - y) * (p.y_m - y), i := p.idx)) AS idx FROM cell, p GROUP BY ci) SELECT idx, sum(value) AS people FROM m GROUP BY idx",
     "cluster_weights": f"{_P} w AS (SELECT idx, coalesce(population, 0) / (SELECT avg(coalesce(population, 0)) FROM p) * CASE source WHEN 'BUILDING' THEN 2.0::DOUBLE WHEN 'MACHINERY' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS v FROM p) SELECT idx, round(greatest(v / (SELECT avg(v) FROM w), 0.1::DOUBLE), 9) AS cw FROM w",
     "admin_locate": f"{_P} l AS ({LOCATED_SQL}) SELECT * FROM l",
     "straddle": f"{_P}{DB_SQL}, l AS ({LOCATED_SQL}) SELECT label, coalesce(string_agg(DISTINCT unit_idx::VARCHAR, ',' ORDER BY unit_idx::VARCHAR) FILTER (unit_idx >= 0), '') AS admin_units, count(DISTINCT unit_idx) FILTER (unit_idx >= 0) > 1 AS straddle FROM lab JOIN l USING (idx) WHERE label >= 1 GROUP BY label",

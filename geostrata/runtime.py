@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
@@ -29,3 +29,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``checkpoint`` without what the plan knew of constraints, partitioning and order.
+
+    Over the joins of operators that are built on each other that knowledge multiplies until
+    planning takes longer than running, so the rows are read as a table without any.
+    """
+    spark, plan = df.sparkSession, checkpoint(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` with new column identities, for a join or cogroup with a table of the same origin."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
