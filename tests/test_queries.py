@@ -1,14 +1,16 @@
 """Registered queries against their SQL on the smallest tables."""
 
+import os
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import DATA
 from geostrata import queries
 
+DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
