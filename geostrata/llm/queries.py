@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geostrata.llm import decontam, langid, linededup, minhash, packing, pii, quality, secrets, tokencount, vecdedup
+from geostrata.llm import decontam, langid, linededup, minhash, oracle, packing, pii, quality, secrets, tokencount, vecdedup
 
 #: Where the tokenizer files are; a parameter of the operators.
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,3 +57,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_embedding_dedup, op4_pii, op5_secrets, op6_quality, op7_minhash, op8_token_counts, op9_packing, op10_language)}
+ORACLE_SQL = oracle.ORACLE_SQL
