@@ -26,7 +26,7 @@ from geostrata.operators.components import connected_components
 from geostrata.runtime import checkpoint
 
 #: Directions, share of vectors in the window region at each end, and half the width of a window.
-DIRECTIONS, TAIL, HALF_WINDOW = 4096, 0.002, 1.25
+DIRECTIONS, TAIL, HALF_WINDOW = 8192, 0.001, 1.25
 RECALL, COSINE = 0.99, 0.9
 #: Classes of a window list that one task compares with each other at a time.
 BLOCK = 1_024
@@ -101,46 +101,43 @@ def _collisions(classes: DataFrame, directions: int, tail: float) -> DataFrame:
     return classes.select("rep", "n", "vec").mapInArrow(kernel, "dim int, list int, value float, rep long, n long, own binary, at binary, vec binary")
 
 
-def _count_common(own: list[np.ndarray]) -> np.ndarray:
-    """Common lists of each two members, from the lists that at least two of them are in."""
-    joined = np.concatenate(own)
+def _group(here: int, value, rep, own, at, vec, cross, cosine: float, count: int, half: float):
+    """Links of one group that belong to list ``here``: (index a, index b) arrays."""
+    none = np.zeros(0, np.int64)
+    joined, values = np.frombuffer(b"".join(own), "<i4"), np.frombuffer(b"".join(at), "<f4")
+    row = np.repeat(np.arange(len(own)), [len(x) // 4 for x in own])
     lists, counts = np.unique(joined, return_counts=True)
-    lists = lists[counts > 1]
-    at = np.searchsorted(lists, joined)
-    at[at == len(lists)] = 0
-    good = lists[at] == joined
+    lists = lists[counts > 1]  # those that at least two members are in
+    spot = np.searchsorted(lists, joined)
+    spot[spot == len(lists)] = 0
+    good = lists[spot] == joined
     m = np.zeros((len(own), len(lists)), np.float32)
-    m[np.repeat(np.arange(len(own)), [len(x) for x in own])[good], at[good]] = 1
-    return m @ m.T
-
-
-def _group(here: int, value, rep, size, own, at, vec, cross, cosine: float, count: int, half: float):
-    """Links of one group that belong to list ``here``: (index a, index b) arrays."""
-    ok = np.abs(value[:, None] - value[None, :]) <= half
+    m[row[good], spot[good]] = 1
+    ok = m @ m.T >= count  # common lists: no fewer than collisions
+    ok &= np.abs(value[:, None] - value[None, :]) <= half
     ok &= np.triu(np.ones(ok.shape, bool), 1)
     if cross is not None:
         ok &= cross[:, None] != cross[None, :]
-    ok &= rep[:, None] != rep[None, :]
-    ok &= _count_common(own) >= count
     a, b = np.nonzero(ok)
     if not len(a):
-        return a, b
-    wide = max(len(x) for x in own)
-    lists, values = np.full((len(own), wide), -1, np.int32), np.zeros((len(own), wide), np.float32)
-    for i, (x, v) in enumerate(zip(own, at, strict=True)):
-        lists[i, : len(x)], values[i, : len(x)] = x, v
-    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
-    keep = []
-    for i in range(0, len(a), 4000):
-        x, y = a[i : i + 4000], b[i : i + 4000]
-        met = (lists[x][:, :, None] == lists[y][:, None, :]) & (lists[x] >= 0)[:, :, None]
-        met &= np.abs(values[x][:, :, None] - values[y][:, None, :]) <= half
-        first = np.where(met.any(2), lists[x], np.iinfo(np.int32).max).min(1)
-        good = (met.sum((1, 2)) >= count) & (first == here)
-        good[good] = (unit[x[good]] * unit[y[good]]).sum(1) >= cosine
-        keep.append(good)
+        return none, none
+    m[row[good], spot[good]] = values[good]
+    keep, step = [], max(1, 2_000_000 // len(lists))
+    for i in range(0, len(a), step):
+        x, y = m[a[i : i + step]], m[b[i : i + step]]
+        met = (x > 0) & (y > 0) & (np.abs(x - y) <= half)
+        keep.append((met.sum(1) >= count) & (lists[met.argmax(1)] == here))
     keep = np.concatenate(keep)
-    return a[keep], b[keep]
+    a, b = a[keep], b[keep]
+    if not len(a):
+        return none, none
+    used = np.union1d(a, b)
+    unit = np.array([np.frombuffer(vec[i], "<f8") for i in used])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    x, y = np.searchsorted(used, a), np.searchsorted(used, b)
+    near = np.concatenate([(unit[x[i : i + 50_000]] * unit[y[i : i + 50_000]]).sum(1) >= cosine for i in range(0, len(x), 50_000)])
+    near &= rep[a] != rep[b]
+    return a[near], b[near]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,10 +179,7 @@ def _links(hits: DataFrame, cosine: float, count: int, half: float, block: int)
                 if y - x < 2:
                     continue
                 cross = part[x:y] if columns[2][x] != columns[3][x] else None
-                own_lists = [np.frombuffer(v, "<i4") for v in lists[x:y]]
-                values = [np.frombuffer(v, "<f4") for v in at[x:y]]
-                vectors = np.array([np.frombuffer(v, "<f8") for v in vec[x:y]])
-                a, b = _group(int(columns[1][x]), value[x:y], rep[x:y], size[x:y], own_lists, values, vectors, cross, cosine, count, half)
+                a, b = _group(int(columns[1][x]), value[x:y], rep[x:y], lists[x:y], at[x:y], vec[x:y], cross, cosine, count, half)
                 if len(a):
                     m = y - x
                     links = np.bincount(a, size[x:y][b], m) + np.bincount(b, size[x:y][a], m)
