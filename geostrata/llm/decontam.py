@@ -131,6 +131,58 @@ def _joined(ids) -> str:
     return ",".join(sorted(map(str, ids)))
 
 
+def _flagged(batch: pa.RecordBatch, grams: NgramSet | None, marks: list | None):
+    """For each block of a batch's texts: (first row, offsets, starts, ends, rows, hit flags, {row: items}).
+
+    Hits come from a set of n-grams or from ``marks``, the numbers of a row's hit words.
+    """
+    for at, data, offsets in blocks(batch.column("text")):
+        if grams is not None:
+            _, starts, ends, rows, hit, found = grams.scan(data, offsets)
+        else:
+            _, starts, ends, rows, _ = _words(data, offsets)
+            hit, found, first = np.zeros(len(starts), bool), {}, np.searchsorted(rows, np.arange(len(offsets)))
+            for r in range(len(offsets) - 1):
+                if marks[at + r]:
+                    hit[first[r] + np.array(marks[at + r])] = True
+        yield at, data, offsets, starts, ends, rows, hit, found
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> tuple[DataFrame, object | None]:
+    """``docs`` and the broadcast n-grams; or, for a benchmark of several blocks, ``docs`` with ``_marks`` and ``_items``.
+
+    With several blocks each is scanned in a pass of its own, so no task holds more than one, and
+    the passes' hits are put together by document (its id and its text's hash).
+    """
+    sc = docs.sparkSession.sparkContext
+    sets = [sc.broadcast(NgramSet(b, window)) for b in item_blocks(benchmark, block_chars)] or [sc.broadcast(NgramSet([], window))]
+    if len(sets) == 1:
+        return docs, sets[0]
+
+    def scan(grams):
+        def kernel(batches):
+            for batch in batches:
+                row, marks, items = [], [], []
+                for at, _, offsets, _, _, rows, hit, found in _flagged(batch, grams.value, None):
+                    first = np.searchsorted(rows, np.arange(len(offsets)))
+                    for r, of in found.items():
+                        row.append(at + r)
+                        marks.append(np.flatnonzero(hit[first[r] : first[r + 1]]).astype(np.int32))
+                        items.append(sorted(map(str, of)))
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(marks, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["_id", "_h", "m", "i"])
+
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+        return keyed.mapInArrow(kernel, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, m array<int>, i array<string>")
+
+    hits = scan(sets[0])
+    for s in sets[1:]:
+        hits = hits.unionByName(scan(s))
+    hits = hits.groupBy("_id", "_h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("m")))).alias("_marks"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("_items"))
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_h"]), "left")
+    return joined.select(*(docs[c] for c in docs.columns), "_marks", "_items"), None
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -138,29 +190,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     Items that are null or hold no word have no window. An item with a null id counts as an item
     ``None``. Rows with equal or null doc_id stay separate rows, and other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(NgramSet(b, window)) for b in item_blocks(benchmark, block_chars)] or [sc.broadcast(NgramSet([], window))]
+    marked, grams = _with_hits(docs.select("doc_id", "text"), benchmark, window, block_chars)
 
     def kernel(batches):
         for batch in batches:
-            n = batch.num_rows
+            n, own = batch.num_rows, grams.value if grams else None
             words, hits, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [set() for _ in range(n)]
-            for at, data, offsets in blocks(batch.column("text")):
-                flags = None
-                for s in sets:
-                    _, _, _, rows, hit, found = s.value.scan(data, offsets)
-                    flags = hit if flags is None else flags | hit
-                    for r, of in found.items():
-                        items[at + r] |= of
+            if not grams:
+                items = [set(x or ()) for x in batch.column("_items").to_pylist()]
+            for at, _, offsets, _, _, rows, hit, found in _flagged(batch, own, None if grams else batch.column("_marks").to_pylist()):
+                for r, of in found.items():
+                    items[at + r] = of
                 m = len(offsets) - 1
                 words[at : at + m] = np.bincount(rows, minlength=m)
-                hits[at : at + m] = np.bincount(rows[flags], minlength=m)
-            empty = hashlib.sha256(b"").hexdigest()
-            sha = [hashlib.sha256(_joined(x).encode()).hexdigest() if x else empty for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(hits > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                hits[at : at + m] = np.bincount(rows[hit], minlength=m)
+            sha = [hashlib.sha256(_joined(x).encode()).hexdigest() for x in items]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(hits > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return marked.mapInArrow(kernel, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "spans", window: int = WINDOW, max_share: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -173,31 +221,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "spans",
     """
     if action not in ("spans", "documents"):
         raise ValueError(f"action {action!r} is not 'spans' or 'documents'")
-    sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(NgramSet(b, window)) for b in item_blocks(benchmark, block_chars)]
-    if not sets:
-        return docs
+    marked, grams = _with_hits(docs, benchmark, window, block_chars)
+    width = len(docs.columns)
 
     def kernel(batches):
         for batch in batches:
             texts, keep, changed = batch.column("text"), np.ones(batch.num_rows, bool), {}
-            for at, data, offsets in blocks(texts):
-                flags = None
-                for s in sets:
-                    _, starts, ends, rows, hit, _ = s.value.scan(data, offsets)
-                    flags = hit if flags is None else flags | hit
-                if not flags.any():
-                    continue
-                for r in np.unique(rows[flags]).tolist():
+            marks = None if grams else batch.column(width).to_pylist()
+            for at, data, offsets, starts, ends, rows, hit, _ in _flagged(batch, grams.value if grams else None, marks):
+                for r in np.unique(rows[hit]).tolist():
                     own = np.flatnonzero(rows == r)
-                    if action == "documents" or flags[own].sum() > max_share * len(own):
+                    if action == "documents" or hit[own].sum() > max_share * len(own):
                         keep[at + r] = False
                         continue
                     drop = np.zeros(int(offsets[r + 1] - offsets[r]), bool)
-                    marked = own[flags[own]]
-                    for part in np.split(marked, np.flatnonzero(np.diff(marked) > 1) + 1):
+                    marked_words = own[hit[own]]
+                    for part in np.split(marked_words, np.flatnonzero(np.diff(marked_words) > 1) + 1):
                         drop[starts[part[0]] - offsets[r] : ends[part[-1]] - offsets[r]] = True
                     changed[at + r] = data[offsets[r] : offsets[r + 1]][~drop].tobytes().decode()
+            batch = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
             if changed:
                 new = texts.to_pylist()
                 for i, t in changed.items():
@@ -205,5 +247,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "spans",
                 batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, texts.type))
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    out = docs.mapInArrow(kernel, docs.schema)
+    out = marked.mapInArrow(kernel, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -76,6 +76,8 @@ def test_decontamination(spark, docs):
         decontam.contamination(docs(texts), bench, block_chars=10)
     cut = {x.doc_id: x.text for x in decontam.decontaminate(docs([f"{'start ' * 20}one {items[0][1]} end two", "clean text", None, items[0][1]]), bench.where("item_id = 0")).collect()}
     assert cut == {0: "start " * 20 + "one  end two", 1: "clean text", 2: None}
+    many = lambda **k: {(x.doc_id, x.text) for x in decontam.decontaminate(docs(texts), bench, **k).collect()}
+    assert many() == many(block_chars=100)
     assert decontam.decontaminate(docs(["a"]), bench.limit(0)).count() == 1
 
 
