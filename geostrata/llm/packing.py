@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 MAX_LEN = 2048
-#: Entries of a worker's table of ids by white-space chunk; it starts anew beyond that.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's table of ids by white-space chunk. Beyond that it starts anew, and what is met
+#: again comes from the table before.
+CACHE_ENTRIES = 120_000
 END_ID = 1
 
 _LATIN = re.compile("[\x00-\xff]*")
 _PAIR = re.compile(r"[^\w\s][^\w\s]")
+_EDGE = re.compile(r"(?<=[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff])(?=[^\w\s'])")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -30,9 +33,9 @@ class ChunkEncoder:
     """A text's ids as little-endian unsigned 32-bit bytes, from ids remembered by chunk.
 
     The tokenizer of ``word_bpe_49k.json`` lower-cases and never joins across white space, so a
-    text's ids are those of its white-space chunks in turn. In a Latin-1 text without runs of
-    punctuation a comma or full stop is a pre-token of its own, so a space before it changes no
-    id and lets far fewer distinct chunks arise. A text with ``<|`` (special tokens are matched
+    text's ids are those of its white-space chunks in turn. In a Latin-1 text a pre-token ends
+    between a letter and punctuation, and without runs of punctuation a comma or full stop is one
+    of its own, so a space there changes no id and lets far fewer distinct chunks arise. A text with ``<|`` (special tokens are matched
     in the raw text) or with separators that Python and the tokenizer see differently is encoded
     whole.
     """
@@ -41,9 +44,13 @@ class ChunkEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.entries, self.ids = Tokenizer.from_file(path), entries, {}
+        self.tokenizer, self.entries, self.ids, self.before = Tokenizer.from_file(path), entries, {}, {}
+        # the same vocabulary for words that need neither folding nor splitting
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.final = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -52,38 +59,40 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        missing = sorted(set(chunks).difference(self.ids))
-        words = [w for w in missing if w.isalpha()]
+    def _learn(self, missing: set[str]) -> None:
+        words = [w for w in missing if w.isalpha() and _LATIN.fullmatch(w) and w == w.lower()]
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.final[ids]) + 1
-            if len(cuts) != len(part):  # a word that is more than one pre-token
-                self.ids.update((w, self._whole(w)) for w in part)
-                continue
-            raw = ids.tobytes()
-            a = 0
-            for w, b in zip(part, (cuts * 4).tolist(), strict=True):
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(part, ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist(), strict=True):
                 self.ids[w] = raw[a:b]
                 a = b
-        self.ids.update((w, self._whole(w)) for w in missing if not w.isalpha())
+        self.ids.update((w, self._whole(w)) for w in missing.difference(words))
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or _ODD_SPACE.search(text):
             return self._whole(text)
         if _LATIN.fullmatch(text):
             text = text.lower()
-            if not _PAIR.search(text):
-                text = text.replace(",", " ,").replace(".", " .")
+            text = _EDGE.sub(" ", text) if _PAIR.search(text) else text.replace(",", " ,").replace(".", " .")
         chunks = text.split()
-        try:
-            return b"".join(map(self.ids.__getitem__, chunks))
-        except KeyError:
+        found = list(map(self.ids.get, chunks))
+        if None in found:
             if len(self.ids) > self.entries:
-                self.ids.clear()
-            self._learn(chunks)
-            return b"".join(map(self.ids.__getitem__, chunks))
+                self.before, self.ids, found = self.ids, {}, [None] * len(chunks)
+            missing = {c for c, x in zip(chunks, found, strict=True) if x is None}
+            known = missing & self.before.keys()
+            self.ids.update((c, self.before[c]) for c in known)
+            self._learn(missing - known)
+            found = map(self.ids.__getitem__, chunks)
+        return b"".join(found)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """A worker's encoder, whose table serves all of its tasks."""
+    return ChunkEncoder(path)
 
 
 def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -104,12 +113,12 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
         raise ValueError("max_len must be a power of two")
 
     def kernel(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         end, done, part = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                raw = (encoder.encode(text) if text else b"") + end
+                raw = (encode(text) if text else b"") + end
                 view, n, at = memoryview(raw), len(raw) // 4, 0
                 for k in piece_lengths(n, max_len):
                     row.append(i)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of a worker's table of counts by chunk; it starts anew beyond that.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 class LongestMatch:
@@ -82,6 +82,12 @@ def automaton(path: str) -> LongestMatch:
         return LongestMatch(base64.b64decode(line.split()[0]) for line in f if line.strip())
 
 
+@lru_cache(maxsize=2)
+def known_counts(path: str) -> dict[str, int]:
+    """A worker's table of counts by chunk, which serves all of its tasks."""
+    return {}
+
+
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per row: doc_id, n_words, n_tokens, longest_word_tokens.
 
@@ -90,7 +96,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
 
     def kernel(batches):
-        count, cache = automaton(vocabulary_path).count, {}
+        count, cache = automaton(vocabulary_path).count, known_counts(vocabulary_path)
         for batch in batches:
             words, tokens, longest = [], [], []
             for text in batch.column("text").to_pylist():
