@@ -20,8 +20,9 @@ from geostrata.llm.spans import SPAN, spans
 
 CONTEXT, THRESHOLD, FINDINGS = 40, 0.5, 4_000
 TREES, DEPTH = 24, 7
-# Runs of key characters, of 16 or more, that hold a digit or change from lower to upper case.
-CANDIDATE = r"(?<![\p{L}\p{N}+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9]|[A-Z+/_-]*[a-z]{1,200}[A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}"
+# Runs of key characters, of 16 or more, that hold a digit or change from lower to upper case. A sign of
+# equality before a run assigns it, and one after it is padding only where no value follows.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9]|[A-Z+/_-]*[a-z]{1,200}[A-Z])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![\"'`]?[A-Za-z0-9+/_=-]))?"
 HINT = r"[A-Za-z0-9+/_-]{16}"
 WORDS = "the and for with this that from have not are was will can all one time test name user data file path code value type list item page home main index image media static content config default system public private example sample dummy your insert here change replace commit hash version build release string number object class method return import package module service server client request response".split()
 KEYWORDS = r"(?i)(passw|pwd|token|secret|api|auth|bearer|credential|access|private|key)"
@@ -87,7 +88,7 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Random
 
 def candidates(docs: DataFrame) -> DataFrame:
     """A row per candidate: doc_id, h (the text's hash), start, end, value, before, after, path."""
-    text = F.when(F.col("text").rlike(HINT), spans(F.col("text"), CANDIDATE, CONTEXT)).otherwise(F.array().cast(SPAN))
+    text = F.when(F.col("text").rlike(HINT), spans(F.col("text"), CANDIDATE, CONTEXT, whole=True)).otherwise(F.array().cast(SPAN))
     path = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     found = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), path.cast("string").alias("path"), F.explode(text).alias("s"))
     return found.select("doc_id", "h", "s.start", "s.end", "s.value", "s.before", "s.after", "path")

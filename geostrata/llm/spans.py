@@ -12,11 +12,12 @@ def none() -> Column:
     return F.lit(None).cast(SPAN)
 
 
-def spans(text: Column, pattern: str, width: int) -> Column:
+def spans(text: Column, pattern: str, width: int, whole: bool = False) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` in ``text`` as an array of spans.
 
     ``start`` and ``end`` count code points from 0. ``before`` and ``after`` hold up to ``width``
-    code points between a match and the next one on that side. The text's pieces between matches
+    code points between a match and the next one on that side, or with ``whole`` of the text there,
+    other matches included. The text's pieces between matches
     and the matches themselves, each measured, give the places.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -24,13 +25,23 @@ def spans(text: Column, pattern: str, width: int) -> Column:
     def step(acc: Column, i: Column) -> Column:
         piece, value = F.element_at(acc["p"], i), F.element_at(acc["m"], i)
         start = acc["at"] + F.length(piece)
-        span = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"), F.right(piece, F.lit(width)).alias("before"), F.left(F.element_at(acc["p"], i + 1), F.lit(width)).alias("after"))
-        return F.struct((start + F.length(value)).cast("int").alias("at"), acc["p"].alias("p"), acc["m"].alias("m"), F.concat(acc["out"], F.array(span)).alias("out"))
+        before = F.right(F.concat(acc["tail"], piece) if whole else piece, F.lit(width))
+        tail = F.right(F.concat(before, value), F.lit(width)) if whole else acc["tail"]
+        span = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"), before.alias("before"), F.left(F.element_at(acc["p"], i + 1), F.lit(width)).alias("after"))
+        return F.struct((start + F.length(value)).cast("int").alias("at"), acc["p"].alias("p"), acc["m"].alias("m"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     # the pieces and matches ride along in the state: as free variables they would be matched anew at every step
-    zero = F.struct(F.lit(0).alias("at"), pieces.alias("p"), found.alias("m"), F.array().cast(SPAN).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), pieces.alias("p"), found.alias("m"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
     n = F.size(found)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+
+    def back(acc: Column, s: Column) -> Column:
+        after = F.left(F.concat(s["after"], acc["head"]), F.lit(width))
+        return F.struct(F.left(F.concat(s["value"], after), F.lit(width)).alias("head"), F.concat(acc["out"], F.array(s.withField("after", after))).alias("out"))
+
+    every = F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["out"])
+    if whole:
+        every = F.aggregate(F.reverse(every), F.struct(F.lit("").alias("head"), F.array().cast(SPAN).alias("out")), back, lambda acc: F.reverse(acc["out"]))
+    return F.when(n > 0, every).otherwise(F.array().cast(SPAN))
 
 
 def luhn(digits: Column) -> Column:

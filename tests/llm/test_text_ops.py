@@ -132,6 +132,16 @@ def test_secrets(docs):
     assert secrets.secret_report(docs(texts).limit(0)).count() == 0
 
 
+def test_secrets_assigned(docs):
+    word, pad = "b7db7aa4a5fcc78305", "YWJjZGVmZ2hpamtsbW5vcHFyc3R1dg=="
+    texts = [f"API_TOKEN={word}\n", f"see http://x.y/z?access_token={word}&a=b", f"awsSecretAccessKey={word} z", f"令牌password={word}", f"token={pad} z", f'my_secret_token_1="{pad}" z']
+    got = {x.doc_id: x.spans for x in secrets.secret_report(docs(texts)).collect()}
+    for i, s in enumerate((word, word, word, word, pad, pad)):
+        a = texts[i].index(s)
+        assert got[i] == f"{a}:{a + len(s)}", texts[i]
+    assert secrets.secret_report(docs([f"密码{word}。", f"id={word}x"])).where("n_candidates = 1").count() == 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=6), max_size=12), st.text("abc", max_size=25))
 def test_longest_match(tokens, word):
