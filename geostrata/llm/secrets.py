@@ -110,7 +110,7 @@ def secret_report(docs: DataFrame, model: RandomForestClassificationModel | None
     Null and empty texts have none. Rows that agree in doc_id and text share their findings, which
     count once; their path is the smallest of theirs.
     """
-    found = findings(docs, model, threshold).groupBy("doc_id", "h", "start", "end").agg(F.min_by("secret", "path").alias("secret"))
+    found = findings(docs, model, threshold).groupBy("doc_id", "h", "start", "end").agg(F.min_by("secret", F.coalesce("path", F.lit(""))).alias("secret"))
     own = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("secret").alias("n_secrets"), F.sort_array(F.collect_list(F.when(F.col("secret"), F.struct("start", "end")))).alias("s"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_candidates", "n_secrets", "s")
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"))

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from geostrata.llm import decontam, linededup, packing, pii, secrets, tokencount
 
@@ -142,6 +143,12 @@ def test_secrets_assigned(docs):
     assert secrets.secret_report(docs([f"密码{word}。", f"id={word}x"])).where("n_candidates = 1").count() == 2
 
 
+def test_secrets_without_source(docs):
+    d = docs(['x token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" y'])
+    for t in (d, d.withColumn("source", F.lit(None).cast("string")), d.drop("source")):
+        assert [(x.n_candidates, x.n_secrets, x.spans) for x in secrets.secret_report(t).collect()] == [(1, 1, "11:51")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=6), max_size=12), st.text("abc", max_size=25))
 def test_longest_match(tokens, word):
