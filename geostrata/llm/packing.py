@@ -24,7 +24,9 @@ CACHE_ENTRIES = 120_000
 END_ID = 1
 
 _LATIN = re.compile("[\x00-\xff]*")
-_PAIR = re.compile(r"[^\w\s][^\w\s]")
+# what the tokenizer joins as punctuation, the underscore included
+_PUNCTUATION = re.escape("".join(c for c in map(chr, range(256)) if not c.isalnum() and not c.isspace()))
+_PAIR = re.compile(f"[{_PUNCTUATION}][{_PUNCTUATION}]")
 _EDGE = re.compile(r"(?<=[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff])(?=[^\w\s'])")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 

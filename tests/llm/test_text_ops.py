@@ -181,3 +181,12 @@ def test_packing(spark, docs):
         assert all(p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) for p in own)
     with pytest.raises(ValueError):
         packing.pack(docs(["a"]), path, max_len=1000)
+
+
+def test_packing_underscores():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encode = Tokenizer.from_file(path), packing.ChunkEncoder(path).encode
+    for text in ("__init__.py", "foo_, bar", "a _.b", "x_y, z_1. _", "ok._ no,_", "é_.º", "a, b. c"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
