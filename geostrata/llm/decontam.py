@@ -9,6 +9,7 @@ vectorised numpy; every hash hit is verified word by word before it counts.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import blocks, constants, hash_runs, lower_ascii, mix, runs
+from geostrata.runtime import checkpoint
 
 WINDOW = 10
 #: The broadcast's bound: characters of benchmark text in one pass over the documents.
 BLOCK_CHARS = 20_000_000
+#: Characters of a piece of an item that is too long for one block.
+PIECE_CHARS = 1_000_000
 _STEP = constants(64, 91)
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 _INSIDE = np.zeros(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):  # 0-9, a-z and every byte of a character beyond ASCII
@@ -103,12 +108,50 @@ class NgramSet:
         return low, starts, ends, rows, hit, items
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in lists of bounded size. A single text beyond the bound is refused."""
+def _pieces(text: str, window: int, chars: int) -> Iterator[str]:
+    """A text's words in pieces of about ``chars`` characters that overlap by ``window`` - 1 words.
+
+    Each window lies in a piece. A piece has ``window`` words or more, unless the text has fewer.
+    """
+    held: list[str] = []
+    size = 0
+    for m in _WORD.finditer(text):
+        if len(held) >= window and size + len(m.group()) > chars:
+            yield " ".join(held)
+            held = held[len(held) - window + 1 :]
+            size = sum(map(len, held)) + len(held)
+        held.append(m.group())
+        size += len(held[-1]) + 1
+    if held:
+        yield " ".join(held)
+
+
+def _cut_items(items: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """``items`` with each text of more than ``block_chars`` characters in pieces under its id."""
+
+    def kernel(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                for piece in _pieces(text, window, min(block_chars, PIECE_CHARS)) if len(text) > block_chars else [text]:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([piece], batch.column(1).type)], ["item_id", "text"])
+
+    return items.mapInArrow(kernel, items.schema)
+
+
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: int = WINDOW) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in lists of bounded size. An item beyond the bound comes in pieces that share its id.
+
+    ``block_chars`` must hold a window of one-letter words; a single window beyond it is a block.
+    """
+    if block_chars < 2 * window - 1:
+        raise ValueError(f"block_chars is {block_chars}; a window of {window} words has {2 * window - 1} characters or more")
+    measure = lambda d: d.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).first()
     items = benchmark.where("text is not null").select("item_id", "text")
-    size = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).first()
+    size = measure(items)
     if size["most"] > block_chars:
-        raise ValueError(f"a benchmark item has {size['most']} characters; block_chars is {block_chars}")
+        items = checkpoint(_cut_items(items, window, block_chars))
+        size = measure(items)
     parts = max(1, -(-2 * int(size["n"]) // block_chars))
     if parts == 1:
         yield [(r["item_id"], r["text"]) for r in items.collect()]
@@ -155,7 +198,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_chars:
     the passes' hits are put together by document (its id and its text's hash).
     """
     sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(NgramSet(b, window)) for b in item_blocks(benchmark, block_chars)] or [sc.broadcast(NgramSet([], window))]
+    sets = [sc.broadcast(NgramSet(b, window)) for b in item_blocks(benchmark, block_chars, window)] or [sc.broadcast(NgramSet([], window))]
     if len(sets) == 1:
         return docs, sets[0]
 

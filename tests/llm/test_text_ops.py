@@ -82,6 +82,18 @@ def test_decontamination(spark, docs):
     assert decontam.decontaminate(docs(["a"]), bench.limit(0)).count() == 1
 
 
+def test_decontamination_long_items(spark, docs):
+    r = random.Random(3)
+    item = [f"{r.choice('abcdeé')}{i}" for i in range(60)]
+    items = [(0, "-- ".join(item)), (1, "x y z" + " " * 300), (2, "w" * 90 + " v"), (3, "a b c d e f g h i j"), (4, "." * 200)]
+    texts = [" ".join(item[a : a + 10]) for a in range(51)] + ["go X, y z", "w" * 90 + "/V!", "k a b c d e f g h i j", " ".join(item), item[59], None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **k: sorted(tuple(x) for x in decontam.contamination(docs(texts), bench, **k).collect())
+    want = rows()
+    assert [x[5] for x in want] == [True] * 55 + [False] * 2
+    assert rows(block_chars=60) == want
+
+
 def spans(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
