@@ -51,7 +51,7 @@ def entities(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
     def of(kind: str) -> Column:
-        good = F.filter(spans(F.col("text"), PATTERNS[kind], CONTEXT + 1), lambda s: _valid(kind, s["value"]))
+        good = F.filter(spans(F.col("text"), PATTERNS[kind], CONTEXT + 1, whole=True), lambda s: _valid(kind, s["value"]))
         return F.when(F.col("text").rlike(HINTS[kind]), good).otherwise(F.array().cast(SPAN)).alias(kind)
 
     return own.select("doc_id", "h", *map(of, KINDS))
@@ -124,16 +124,16 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE
     """``docs`` with entities and disclosing terms generalised to their kind's name in brackets.
 
     Terms that reveal ``remove`` or more are removed instead. Of overlapping spans the first
-    holds. ``n_chars``, where the table has it, follows. Null texts stay null.
+    holds, and of an entity and a term that start together the entity. ``n_chars``, where the table has it, follows. Null texts stay null.
     """
     s = _spans(docs, support, disclose)
 
     def cut(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by")))
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("late"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by")))
 
     cuts = F.concat(
         *map(cut, KINDS),
-        F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["revealed"] >= remove, "").otherwise("[TERM]").alias("by"))),
+        F.transform("terms", lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("late"), x["end"].alias("end"), F.when(x["revealed"] >= remove, "").otherwise("[TERM]").alias("by"))),
     )
     marked = s.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.array_sort(cuts).alias("_cuts")).where("size(_cuts) > 0").dropDuplicates(["_id", "_h"])
     own = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == marked["_h"]), "left")
