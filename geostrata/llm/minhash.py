@@ -331,8 +331,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     Words are maximal runs without ASCII white space, A-Z lower-cased; pairs with a Jaccard
     similarity of ``threshold`` % or more are linked. Null or empty texts have an empty set and
     are linked with nothing. Rows with the same doc_id count as one document when links are
-    followed. A row without an id gets the component of equal or near texts, or null if no row
-    there has an id, and is not kept in the first case.
+    followed. A row without an id gets the component of rows with an id and an equal set of shingles,
+    and is not kept then. It is not searched for near texts: without such a row its component is
+    null and it is kept.
     """
     rows = checkpoint(sketch(docs, size))
     filled = rows.where("n_shingles > 0 and doc_id is not null")
