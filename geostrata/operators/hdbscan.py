@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.operators.components import connected_components
 from geostrata.operators.dbscan import NOISE
+from geostrata.operators.ranking import numbered
 from geostrata.operators.spatial import _col, range_pairs
 from geostrata.operators.trees import density_clusters
-from geostrata.runtime import cut as checkpoint
+from geostrata.runtime import checkpoint
 from geostrata.runtime import fresh
 
 # Fewest candidate edges of a point, and the least reachability in metres.
@@ -65,12 +67,10 @@ def hdbscan(points: DataFrame, min_cluster_size: float, min_samples: float, max_
     def kernel(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
         links = links.sort_values(["w", "gen", "rank"], kind="stable")
-        place = {i: k for k, i in enumerate(rows["idx"])}
-        triples = [(w, place[a], place[b]) for w, a, b in zip(links["w"], links["a"], links["b"], strict=True)]
-        label, birth = density_clusters(rows["_w"].to_numpy(), triples, least)
-        out = rows[[*keys, "idx", "comp"]].copy()
-        out["seq"] = label.astype("int32")
-        out["birth"] = [float(birth[c]) if c >= 0 else 0.0 for c in label]
+        ids, out = rows["idx"].to_numpy(), rows[[*keys, "idx", "comp"]].copy()
+        ends = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
+        seq, birth = density_clusters(rows["_w"].to_numpy(), links["w"].to_numpy(), *ends, least)
+        out["seq"], out["birth"] = seq.astype("int32"), birth
         return out
 
     fields = "".join(f"{k} {points.schema[k].dataType.simpleString()}, " for k in keys)
@@ -81,5 +81,5 @@ def hdbscan(points: DataFrame, min_cluster_size: float, min_samples: float, max_
     # as created: all roots by component, then the rest of the last component first
     root = F.col("seq") == 0
     order = [F.col("birth").desc(), (~root).cast("int"), F.when(root, F.col("comp")), F.when(~root, F.col("comp")).desc(), F.col("seq")]
-    ids = clusters.withColumn("label", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
+    ids = clusters.withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))) if keys else numbered(clusters, order, "label")
     return chosen.join(ids.select(*keys, "comp", "seq", "label"), [*keys, "comp", "seq"], "left").select(*keys, "idx", F.coalesce("label", F.lit(NOISE)).cast("int").alias("label"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.operators.spatial import k_nearest
-from geostrata.operators.trees import Sets, spanning_forest
+from geostrata.operators.trees import joined, spanning_forest
 from geostrata.runtime import fresh
 
 #: Neighbours of a point in the graph.
@@ -34,14 +35,13 @@ def regions(points: DataFrame, value: str, keys: list[str], target: int, knn: in
         if n <= 1 or target <= 1:
             out["region"] = 1
             return out
-        place = {i: k for k, i in enumerate(rows["idx"])}
-        tree = spanning_forest(n, sorted((w, place[a], place[b]) for w, a, b in zip(links["w"], links["a"], links["b"], strict=True)))
+        links = links.sort_values(["w", "a", "b"])
+        ids, w = rows["idx"].to_numpy(), links["w"].to_numpy()
+        a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
+        tree = spanning_forest(n, a, b)
         cuts = max(0, min(target, n) - (n - len(tree)))
-        sets = Sets(n)
-        for _, a, b in sorted(tree, key=lambda e: (-e[0], e[1], e[2]))[cuts:]:
-            sets.join(a, b)
-        ids: dict[int, int] = {}
-        out["region"] = [ids.setdefault(sets.find(i), len(ids) + 1) for i in range(n)]
+        kept = tree[np.lexsort((b[tree], a[tree], -w[tree]))][cuts:]
+        out["region"] = np.unique(joined(np.arange(n), a[kept], b[kept]), return_inverse=True)[1] + 1
         return out
 
     fields = "".join(f"{k} {points.schema[k].dataType.simpleString()}, " for k in keys)
