@@ -1,16 +1,24 @@
 """Spatial joins over a hashed grid: range pairs, nearest, k nearest, k-th distance.
 
-A join compares a point with the points of its own and the neighbouring cells only; the cell
-makes an equi-join key, so Spark shuffles by cell and splits crowded cells where its skew-join
-rule sees them. All functions take optional ``keys``: points of different keys never meet.
+A range join compares a point with the points of its own and the neighbouring cells only; the
+cell makes an equi-join key, so Spark shuffles by cell and splits crowded cells where its
+skew-join rule sees them. Nearest points are looked for in tiles of bounded size. All functions take optional ``keys``: points of different keys never meet.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.runtime import cut as checkpoint
+from geostrata.runtime import checkpoint
+from geostrata.runtime import fresh
+
+#: Points of a tile, the most tiles there are to be (they are broadcast), and queries that meet a tile at a time.
+TILE, MAX_TILES, LOT = 2_000, 50_000, 20_000
 
 
 class RadiusError(ValueError):
@@ -52,52 +60,166 @@ def range_pairs(points: DataFrame, eps: float | str, keys: list[str] | None = No
     return joined.select(*keys, "idx", "other", "d2", "cx", "cy", *(f"o_{c}" for c in carry))
 
 
-def _start_cell(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cell, span): a side that puts about one point in a cell."""
-    span = F.greatest(F.max("x_m") - F.min("x_m"), F.max("y_m") - F.min("y_m"))
-    return points.groupBy(*keys).agg(F.greatest(span / F.sqrt(F.count(F.lit(1))), F.lit(1e-6)).alias("_cell"), span.alias("_span"), F.count(F.lit(1)).alias("_n"))
+def _leaves(points: DataFrame, x0: float, y0: float, side: float, depth: int, cap: int) -> pd.DataFrame:
+    """Tiles of groups with more than ``cap`` points: g, level, cx, cy and the tight box of each quarter's quarter that holds ``cap`` or fewer.
 
-
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, keys: list[str] | None = None, with_self: bool = False, max_rounds: int = 40) -> DataFrame:
+    Quarters are counted at every level at once, from the cells of the finest one. The tiles come
+    to the driver: there are about ``n / cap`` of them, and their number is checked.
+    """
+    at = lambda v, low: F.least(F.floor((F.col(v) - low) / side * 2**depth), F.lit(2**depth - 1))
+    box = [F.min("x").alias("x"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("y1").alias("y1")]
+    cells = points.select("g", at("x", x0).alias("cx"), at("y", y0).alias("cy"), "x", F.col("x").alias("x1"), "y", F.col("y").alias("y1")).groupBy("g", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), *box)
+    every = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    up = lambda c: F.call_function("shiftright", F.col(c), F.lit(depth) - F.col("level")).alias(c)
+    every = checkpoint(every.select("g", "level", up("cx"), up("cy"), "n", "x", "x1", "y", "y1").groupBy("g", "level", "cx", "cy").agg(F.sum("n").alias("n"), *box))
+    full = every.where(F.col("n") > cap).select("g", (F.col("level") + 1).alias("level"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    leaf = every.where((F.col("n") <= cap) | (F.col("level") == depth)).withColumn("px", F.shiftright("cx", 1)).withColumn("py", F.shiftright("cy", 1))
+    leaf = checkpoint(leaf.join(full, ["g", "level", "px", "py"], "left_semi").select("g", "level", "cx", "cy", "x", "x1", "y", "y1"))
+    if leaf.count() > 4 * MAX_TILES:
+        return _leaves(points, x0, y0, side, depth, 2 * cap)
+    return leaf.toPandas().sort_values(["g", "level", "cx", "cy"], ignore_index=True)
+
+
+class _Tiles:
+    """The tiles of large groups, in arrays: which one holds a place, and which lie within a distance of it."""
+
+    def __init__(self, leaves: pd.DataFrame, x0: float, y0: float, side: float, depth: int):
+        self.x0, self.y0, self.side, self.depth = x0, y0, side, depth
+        self.g, self.box = leaves["g"].to_numpy(), leaves[["x", "x1", "y", "y1"]].to_numpy()
+        self.places = {int(v): (pd.MultiIndex.from_frame(t[["g", "cx", "cy"]]), t.index.to_numpy()) for v, t in leaves.groupby("level")}
+
+    def _gap2(self, x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        b = self.box[lo:hi]
+        dx = np.maximum(np.maximum(b[:, 0] - x[:, None], x[:, None] - b[:, 1]), 0.0)
+        dy = np.maximum(np.maximum(b[:, 2] - y[:, None], y[:, None] - b[:, 3]), 0.0)
+        return dx * dx + dy * dy
+
+    def _each(self, g: np.ndarray, rows: np.ndarray):
+        """(rows of one group in lots, first and last tile of the group)."""
+        for k in np.unique(g[rows]):
+            lo, hi = np.searchsorted(self.g, [k, k + 1]) if k < 2**63 - 1 else (np.searchsorted(self.g, k), len(self.g))
+            own = rows[g[rows] == k]
+            for part in np.array_split(own, -(-len(own) * (hi - lo) // 4_000_000)):
+                yield part, lo, hi
+
+    def find(self, g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The tile of each place; the nearest one where no tile holds it."""
+        at = lambda v, low: np.clip(np.floor((v - low) / self.side * 2.0**self.depth), 0, 2**self.depth - 1).astype(np.int64)
+        cx, cy, out = at(x, self.x0), at(y, self.y0), np.full(len(x), -1)
+        for level, (index, number) in self.places.items():
+            shift = self.depth - level
+            hit = index.get_indexer(pd.MultiIndex.from_arrays([g, cx >> shift, cy >> shift]))
+            out[hit >= 0] = number[hit[hit >= 0]]
+        for rows, lo, hi in self._each(g, np.flatnonzero(out < 0)):
+            out[rows] = lo + self._gap2(x[rows], y[rows], lo, hi).argmin(1)
+        return out
+
+    def within(self, g: np.ndarray, x: np.ndarray, y: np.ndarray, r2: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, tile) for the tiles other than ``own`` whose box is not farther from a place than its own distance."""
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for rows, lo, hi in self._each(g, np.arange(len(x))):
+            r, t = np.nonzero(self._gap2(x[rows], y[rows], lo, hi) <= r2[rows][:, None])
+            pairs.append((rows[r], t + lo))
+        r, t = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        return r[t != own], t[t != own]
+
+
+def _closest(px: np.ndarray, py: np.ndarray, other: np.ndarray, qx: np.ndarray, qy: np.ndarray, idx: np.ndarray, k: int, with_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, point, d2) of the ``k`` nearest points of each query, ties by ``other``, by which the points are sorted."""
+    found = []
+    step = max(1, 2_000_000 // max(1, len(px)))
+    for lo in range(0, len(qx) if len(px) else 0, step):
+        dx, dy = px[None, :] - qx[lo : lo + step, None], py[None, :] - qy[lo : lo + step, None]
+        d2 = dx * dx + dy * dy
+        if not with_self:
+            d2[other[None, :] == idx[lo : lo + step, None]] = np.inf
+        last = np.partition(d2, min(k, len(px)) - 1, axis=1)[:, min(k, len(px)) - 1]
+        r, p = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
+        d = d2[r, p]
+        order = np.lexsort((p, d, r))
+        r, p, d = r[order], p[order], d[order]
+        first = np.searchsorted(r, r)
+        keep = np.arange(len(r)) - first < k
+        found.append((r[keep] + lo, p[keep], d[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _meet(points: DataFrame, queries: DataFrame, k: int, with_self: bool, tiles) -> DataFrame:
+    """Each query (g, tile, idx, x, y, r2) with the points of its tile: rows (g, idx, x, y, other, d2, to).
+
+    ``other`` and ``d2`` tell of near points, and with ``tiles`` rows with ``to`` name the other tiles that may
+    hold nearer ones. A tile with many queries meets them in lots.
+    """
+    hot = queries.groupBy("g", "tile").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")).where("lots > 1")
+    q = queries.join(hot, ["g", "tile"], "left").withColumn("lot", F.pmod(F.xxhash64("idx"), F.coalesce("lots", F.lit(1))).cast("int")).drop("lots")
+    p = points.join(hot, ["g", "tile"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+    kind = queries.schema["idx"].dataType.simpleString()
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = left.sort_values("other")
+        x, y, idx, other = right["x"].to_numpy(), right["y"].to_numpy(), right["idx"].to_numpy(), own["other"].to_numpy()
+        row, point, d2 = _closest(own["x"].to_numpy(), own["y"].to_numpy(), other, x, y, idx, k, with_self)
+        near = d2 <= right["r2"].to_numpy()[row]
+        row, point, d2 = row[near], point[near], d2[near]
+        g = right["g"].to_numpy()
+        out = [pd.DataFrame({"g": g[row], "idx": idx[row], "x": x[row], "y": y[row], "other": pd.array(other[point], "Int64"), "d2": d2, "to": pd.array([pd.NA] * len(row), "Int32"), "r2": np.inf})]
+        if tiles is not None and len(right) and right["tile"].iloc[0] >= 0:
+            far = np.full(len(right), np.inf)
+            full = np.flatnonzero(np.bincount(row, minlength=len(right)) >= k)
+            far[full] = np.maximum.reduceat(d2, np.searchsorted(row, full)) if len(full) else far[full]
+            r, t = tiles.value.within(g, x, y, far, int(right["tile"].iloc[0]))
+            out.append(pd.DataFrame({"g": g[r], "idx": idx[r], "x": x[r], "y": y[r], "other": pd.array([pd.NA] * len(r), "Int64"), "d2": np.nan, "to": pd.array(t, "Int32"), "r2": far[r]}))
+        return pd.concat(out)
+
+    grouped = fresh(p).groupBy("g", "tile", "lot").cogroup(fresh(q).groupBy("g", "tile", "lot"))
+    return grouped.applyInPandas(kernel, f"g long, idx {kind}, x double, y double, other {kind}, d2 double, to int, r2 double")
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, keys: list[str] | None = None, with_self: bool = False) -> DataFrame:
     """(keys, idx, other, d2, rank): the ``k`` nearest points of each query, ties by idx.
 
-    A round compares open queries with the cells around them. A query is settled when its k-th
-    candidate lies no farther than the cells reach, or when the cells cover all points; the
-    others go on with cells twice as large. Queries without any point give no rows.
+    Points are dealt to tiles of about ``TILE``, quarters of quarters of the map. A query meets the
+    points of its own tile (or of the nearest one) as arrays, which bounds the distance of its k-th
+    neighbour, and then those of the other tiles that reach within that distance. Of points at one
+    place only the k + 1 with the lowest idx can be answers, so a crowded place costs no more than
+    any other. Queries without any point, and rows without coordinates, give no rows.
     """
     keys = keys or []
-    base = checkpoint(points.select(*keys, F.col("idx").alias("other"), F.col("x_m").alias("_x"), F.col("y_m").alias("_y")))
-    both = points.select(*keys, "idx", "x_m", "y_m").unionByName(queries.select(*keys, "idx", "x_m", "y_m"))
-    cells = checkpoint(_start_cell(both, keys))
-    attach = lambda df: df.join(F.broadcast(cells), keys) if keys else df.crossJoin(F.broadcast(cells))
-    cells_small = not keys or cells.limit(200_001).count() <= 200_000
-    if not cells_small:
-        attach = lambda df: df.join(cells, keys)
-    open_, found, factor = checkpoint(attach(queries.select(*keys, "idx", "x_m", "y_m"))), None, 1.0
-    own = attach(base)
-    w = Window.partitionBy(*keys, "idx").orderBy("d2", "other")
-    for _ in range(max_rounds):
-        size = F.col("_cell") * factor
-        right = own.select(*keys, "other", "_x", "_y", F.floor(F.col("_x") / size).alias("cx"), F.floor(F.col("_y") / size).alias("cy"))
-        left = open_.withColumn("_o", F.explode(around())).withColumn("cx", F.floor(F.col("x_m") / size) + F.col("_o.dx")).withColumn("cy", F.floor(F.col("y_m") / size) + F.col("_o.dy")).drop("_o")
-        dx, dy = F.col("_x") - F.col("x_m"), F.col("_y") - F.col("y_m")
-        near = left.join(right, [*keys, "cx", "cy"]).withColumn("d2", dx * dx + dy * dy)
-        if not with_self:
-            near = near.where("other <> idx")
-        ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        kth = F.max(F.when(F.col("rank") == k, F.col("d2"))).over(Window.partitionBy(*keys, "idx"))
-        covered = F.col("_span") <= F.col("_cell") * factor
-        settled = covered | (kth <= (F.col("_cell") * factor) * (F.col("_cell") * factor))
-        ranked = checkpoint(ranked.withColumn("_done", F.coalesce(settled, covered)).select(*keys, "idx", "other", "d2", "rank", "_done"))
-        part = ranked.where("_done").drop("_done")
-        found = part if found is None else found.unionByName(part)
-        done = ranked.where("_done").select(*keys, "idx").distinct()
-        left_over = open_.where(~covered)
-        open_ = checkpoint(left_over.join(done, [*keys, "idx"], "left_anti"))
-        if open_.limit(1).count() == 0:
-            return found
-        factor *= 2
-    raise RuntimeError("k nearest points did not settle")
+    g = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    place = lambda d, name: d.where("x_m is not null and y_m is not null and not isnan(x_m) and not isnan(y_m)").select(*keys, g.alias("g"), F.col("idx").alias(name), F.col("x_m").cast("double").alias("x"), F.col("y_m").cast("double").alias("y"))
+    w = Window.partitionBy("g", "x", "y").orderBy("other")
+    base = checkpoint(place(points, "other").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1).select("g", "other", "x", "y"))
+    asked = checkpoint(place(queries, "idx"))
+    seen = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-6)).alias("side")).first()  # one row
+    cap = max(TILE, seen["n"] // MAX_TILES)
+    large = base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("g")
+    tiles, deal = None, lambda d, name: d.withColumn("tile", F.lit(-1))  # a small group is one tile
+    if seen["n"] > cap and large.limit(1).count():
+        large = checkpoint(large)
+        depth = min(24, max(1, ceil(log2(64 * seen["n"] / cap) / 2)))
+        held = _Tiles(_leaves(base.join(F.broadcast(large), "g", "left_semi"), seen["x0"], seen["y0"], seen["side"], depth, cap), seen["x0"], seen["y0"], seen["side"], depth)
+        tiles = base.sparkSession.sparkContext.broadcast(held)
+
+        def deal(d: DataFrame, name: str) -> DataFrame:
+            def kernel(batches):
+                for t in batches:
+                    yield t.assign(tile=tiles.value.find(t["g"].to_numpy(), t["x"].to_numpy(), t["y"].to_numpy()).astype("int32"))
+
+            rows = d.select("g", name, "x", "y")
+            big = rows.join(F.broadcast(large), "g", "left_semi").mapInPandas(kernel, f"g long, {name} {d.schema[name].dataType.simpleString()}, x double, y double, tile int")
+            return big.unionByName(rows.join(F.broadcast(large), "g", "left_anti").withColumn("tile", F.lit(-1)))
+
+    dealt = checkpoint(deal(base, "other")) if tiles else deal(base, "other")
+    first = checkpoint(_meet(dealt, deal(asked, "idx").withColumn("r2", F.lit(float("inf"))), k, with_self, tiles))
+    found = first.where("to is null")
+    if tiles:
+        found = found.unionByName(_meet(dealt, first.where("to is not null").select("g", "idx", "x", "y", F.col("to").alias("tile"), "r2"), k, with_self, None))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("g", "idx").orderBy("d2", "other"))).where(F.col("rank") <= k)
+    if not keys:
+        return ranked.select("idx", "other", "d2", "rank")
+    return ranked.join(asked.select(*keys, "g", "idx"), ["g", "idx"]).select(*keys, "idx", "other", "d2", "rank")
 
 
 def kth_distance(points: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from geostrata.operators import admin, breaks, pass1, pass2, spatial, suggest
 from geostrata.operators.dbscan import core_points, dbscan, neighbour_sums
 from geostrata.operators.hdbscan import hdbscan, reachability_edges
 from geostrata.plans import output
-from geostrata.sources.raster import Filter, Raster, apply_filters, outside_counts
+from geostrata.sources.raster import Filter, Raster, allocate, apply_filters, outside_counts
 from geostrata.streaming.session_log import as_log, counts
 
 EPS, MIN_PTS = 2000.0, 4
@@ -169,8 +169,7 @@ def q_raster_allocate(spark, sf_dir):
     # the frame of the derived points: metres are 100,000 times degrees from (30, 0)
     p = points(spark, sf_dir)
     cells = r.populated().select((F.col("row") * 40 + F.col("col")).alias("idx"), F.round((F.col("lon") - 30) * 100_000, 3).alias("x_m"), F.round(F.col("lat") * 100_000, 3).alias("y_m"), "people")
-    near = spatial.nearest(cells, p).join(cells.select("idx", "people"), "idx")
-    return near.groupBy(F.col("other").alias("idx")).agg(F.sum("people").alias("people"))
+    return allocate(cells, p, "people")
 
 
 def q_cluster_weights(spark, sf_dir):

@@ -64,7 +64,8 @@ class Raster:
         row, col = self.cell(F.col("lon"), F.col("lat"))
         at = points.withColumn("_row", row).withColumn("_col", col)
         cells = self.good().select(F.col("row").cast("long").alias("_row"), F.col("col").cast("long").alias("_col"), F.col("value").alias(out))
-        got = at.join(cells, ["_row", "_col"], "left")
+        # points outside have no cell: they are set aside, so that they don't meet in one task under a null key
+        got = at.where("_row is not null").join(cells, ["_row", "_col"], "left").unionByName(at.where("_row is null").withColumn(out, F.lit(None).cast(cells.schema[out].dataType)))
         if covers:
             got = got.withColumn(covers, F.col("_row").isNotNull())
         return got.drop("_row", "_col")
@@ -110,11 +111,15 @@ def outside_counts(filtered: DataFrame) -> DataFrame:
     return filtered.select(F.explode("outside").alias("raster")).groupBy("raster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def allocate(cells: DataFrame, points: DataFrame, out: str) -> DataFrame:
+    """(idx, ``out``): people of the cells (idx, x_m, y_m, people) that are nearest to each point; points without a cell are left out."""
+    to = nearest(cells, points).where("other >= 0").join(cells.select("idx", "people"), "idx")
+    return to.groupBy(F.col("other").alias("idx")).agg(F.sum("people").alias(out))
+
+
 def weights(raster: Raster, points: DataFrame, allocation: str, frame: DataFrame, out: str) -> DataFrame:
     """``points`` (idx, lon, lat, x_m, y_m) with ``out``: people of its own cell ('sample'), or of all populated cells that are nearest to it ('allocate')."""
     if allocation == "sample":
         return raster.people(points, out)
     cells = project(raster.populated(), frame).withColumn("idx", F.col("row").cast("long") * raster.width + F.col("col"))
-    to = nearest(cells, points).join(cells.select("idx", "people"), "idx").where("other >= 0")
-    total = to.groupBy(F.col("other").alias("idx")).agg(F.sum("people").alias(out))
-    return points.join(total, "idx", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return points.join(allocate(cells, points, out), "idx", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))

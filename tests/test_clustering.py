@@ -9,7 +9,6 @@ from geostrata.operators import admin, breaks, hull, pass1, pass2, regions, spat
 from geostrata.operators.components import connected_components
 from geostrata.operators.dbscan import dbscan
 from geostrata.operators.hdbscan import hdbscan
-from geostrata.operators.trees import density_clusters
 
 
 def table(spark, xy, **more):
@@ -143,8 +142,6 @@ def test_hdbscan_blobs(spark):
     xy = [(cx + r.gauss(0, 60), cy + r.gauss(0, 60)) for cx, cy in ((0, 0), (5000, 0)) for _ in range(20)] + [(50000, 50000)]
     got = [x.label for x in hdbscan(table(spark, xy), 8, 4, 2000.0).orderBy("idx").collect()]
     assert len(set(got[:20])) == 1 and len(set(got[20:40])) == 1 and got[0] != got[20] and got[40] == -1
-    label, birth = density_clusters(np.ones(2), [(5.0, 0, 1)], 2)
-    assert label.tolist() == [0, 0] and birth.tolist() == [0]
 
 
 def test_weights_and_floors(spark):
