@@ -1,20 +1,25 @@
 """Embedding near-dedup: collision-counting projections.
 
 Vectors are projected on many random directions and each projection is sorted. A vector looks at
-the windows centred on its own values at both ends of the sorted projections, where values are
-sparse: there a pair with a high cosine still collides often and an unrelated pair hardly ever.
-Collisions are counted per pair; pairs with at least ``count`` of them (a number calibrated so
-that pairs at the cosine threshold reach it with the wanted recall) are verified in double
-precision, once, in the first projection in which they collide.
-
-Equal vectors are one class. A window list of n classes is cut into parts of bounded size and
-each pair of parts is a group of its own. Groups return sums per vector and the edges of a
-spanning forest, never their pairs.
+the windows centred on its own values at both sparse ends of the sorted projections: there a pair
+with a high cosine still collides often and an unrelated pair hardly ever. Collisions are counted
+per pair; pairs with at least ``count`` of them (a number calibrated so that pairs at the cosine
+threshold reach it with the wanted recall) are verified in double precision, once, in the first
+projection in which they collide.
+
+The ends hold about ``LIST`` vectors each, whatever the number of vectors: the more there are, the
+farther out the ends begin and the more directions there are, so the rows that are sorted and the
+pairs that are counted grow in proportion. Ids and values are sorted and counted first; vectors
+are fetched only for those that have a pair to verify.
+
+Equal vectors are one class. A list of more than ``block`` classes is cut into parts and each pair
+of parts is a group of its own. Groups return sums per vector and the edges of a spanning forest,
+never their pairs.
 """
 
 from __future__ import annotations
 
-from math import erf, exp, pi, sqrt
+from math import ceil, erfc, exp, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +30,17 @@ from geostrata.llm.common import whole_groups
 from geostrata.operators.components import connected_components
 from geostrata.runtime import checkpoint
 
-#: Directions, share of vectors in the window region at each end, and half the width of a window.
-DIRECTIONS, TAIL, HALF_WINDOW = 8192, 0.001, 1.25
+#: Classes at an end of a sorted projection, ends that a vector is to be in, and the share of an end that is the smallest.
+LIST, ROWS, LEAST_TAIL = 48, 18, 1e-5
+#: Half the width of a window.
+HALF_WINDOW = 0.8
 RECALL, COSINE = 0.99, 0.9
-#: Classes of a window list that one task compares with each other at a time.
-BLOCK = 1_024
+#: Classes of a list that one task compares with each other at a time, and directions that are projected on at a time.
+BLOCK, STRIP = 1_024, 2_048
 
 
 def _upper(z: float) -> float:
-    return 0.5 * (1 - erf(z / sqrt(2)))
+    return 0.5 * erfc(z / sqrt(2))
 
 
 def tail_start(share: float) -> float:
@@ -45,8 +52,17 @@ def tail_start(share: float) -> float:
     return lo
 
 
-def calibrate(cosine: float, directions: int = DIRECTIONS, tail: float = TAIL, half: float = HALF_WINDOW, recall: float = RECALL) -> tuple[int, float]:
-    """The largest count that pairs at ``cosine`` reach with probability ``recall``, and that probability.
+def layout(classes: int, rows: int = ROWS, size: int = LIST) -> tuple[int, float]:
+    """(directions, share of the vectors at each end) for a number of classes.
+
+    Beyond ``size / LEAST_TAIL`` classes the ends no longer shrink, and the lists grow instead.
+    """
+    tail = min(0.01, max(LEAST_TAIL, size / max(1, classes)))
+    return ceil(rows / (2 * tail)), tail
+
+
+def calibrate(cosine: float, directions: int, tail: float, half: float = HALF_WINDOW, recall: float = RECALL) -> tuple[int, float]:
+    """The largest count that pairs at ``cosine`` reach with probability ``recall``, and that probability; 1 at least.
 
     A pair's values on a random direction are a standard normal pair with its cosine as
     correlation, and directions are independent, so its collisions are binomial.
@@ -58,85 +74,120 @@ def calibrate(cosine: float, directions: int = DIRECTIONS, tail: float = TAIL, h
         x = t + (i + 0.5) * step
         low, high = max(t, x - half), x + half
         p += exp(-x * x / 2) / sqrt(2 * pi) * step * (_upper((low - cosine * x) / s) - _upper((high - cosine * x) / s))
-    n, term, below, best = 2 * directions, (1 - p) ** (2 * directions), 0.0, (1, 0.0)
-    for k in range(n):
+    n, term, below, best = 2 * directions, (1 - p) ** (2 * directions), 0.0, None
+    for k in range(1, n + 1):  # below: the probability of fewer than k
+        below += term
+        term *= (n - k + 1) / k * p / (1 - p)
+        if best is None or 1 - below >= recall:
+            best = (k, 1 - below)
         if 1 - below < recall:
             break
-        best = (k, 1 - below)
-        below += term
-        term *= (n - k) / (k + 1) * p / (1 - p)
-    if best[0] < 1:
-        raise ValueError("too few directions for this recall")
     return best
 
 
-def _collisions(classes: DataFrame, directions: int, tail: float) -> DataFrame:
-    """A row for each value in a window region: dim, list (direction and end), value, rep, n, own (all lists), at (their values), vec."""
+def _strips(x: np.ndarray, dim: int, directions: int, t: float):
+    """(row, list, value) of each place at an end: projections of unit vectors on a strip of directions at a time."""
+    for first in range(0, directions, STRIP):
+        g = np.random.default_rng((dim, first)).standard_normal((dim, STRIP)).astype(np.float32)[:, : directions - first]
+        y = x @ g
+        row, direction = np.nonzero(np.abs(y) >= t)
+        value = y[row, direction]
+        yield row, 2 * (direction + first) + (value < 0), np.abs(value).astype(np.float16)
+
+
+def _by_length(vec: pa.Array):
+    """(dim, row numbers, unit vectors) of a batch of packed vectors, a thousand of one length at a time."""
+    raw = [np.frombuffer(x, "<f8") for x in vec.to_pylist()]
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(raw):
+        by.setdefault(len(x), []).append(i)
+    for dim, rows in by.items():
+        for a in range(0, len(rows), 1000):
+            yield dim, np.array(rows[a : a + 1000]), np.array([raw[i] for i in rows[a : a + 1000]], np.float32)
+
+
+def _crowded(classes: DataFrame, directions: int, tail: float, block: int) -> DataFrame:
+    """(list, parts) of the lists with more than ``block`` classes."""
+    t = tail_start(tail)
+
+    def kernel(batches):
+        for batch in batches:
+            for dim, _, x in _by_length(batch.column("vec")):
+                for _, lists, _ in _strips(x, dim, directions, t):
+                    of, n = np.unique(lists, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(of + (dim << 32)), pa.array(n)], ["list", "n"])
+
+    sizes = classes.select("vec").mapInArrow(kernel, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    return checkpoint(sizes.where(F.col("n") > block).select("list", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+
+
+def _places(classes: DataFrame, directions: int, tail: float) -> DataFrame:
+    """A row for each place at an end: list (vector length, direction and end), value, rep, n, own (all its lists), at (its values there)."""
     t = tail_start(tail)
 
     def kernel(batches):
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            rep, size, vec = batch.column("rep").to_numpy(), batch.column("n").to_numpy(), batch.column("vec")
-            raw = [np.frombuffer(x, "<f8") for x in vec.to_pylist()]
-            by: dict[int, list[int]] = {}
-            for i, x in enumerate(raw):
-                by.setdefault(len(x), []).append(i)
-            for dim, rows in by.items():
-                g = known.setdefault(dim, np.random.default_rng(1000 + dim).standard_normal((dim, directions)).astype(np.float32))
-                for a in range(0, len(rows), 1000):
-                    part = rows[a : a + 1000]
-                    x = np.array([raw[i] for i in part], np.float32) @ g
-                    row, direction = np.nonzero(np.abs(x) >= t)
-                    value = x[row, direction]
-                    lists, value = 2 * direction + (value < 0), np.abs(value).astype(np.float32)
-                    order = np.lexsort((lists, row))
-                    row, lists, value = row[order], lists[order].astype(np.int32), value[order]
-                    cuts = np.searchsorted(row, np.arange(len(part) + 1))
-                    own = [lists[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                    at = [value[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                    take = np.array(part)[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim, np.int32)), pa.array(lists), pa.array(value), pa.array(rep[take]), pa.array(size[take]), pa.array(own, pa.binary()).take(pa.array(row)), pa.array(at, pa.binary()).take(pa.array(row)), vec.take(pa.array(take))], ["dim", "list", "value", "rep", "n", "own", "at", "vec"])
-
-    return classes.select("rep", "n", "vec").mapInArrow(kernel, "dim int, list int, value float, rep long, n long, own binary, at binary, vec binary")
-
-
-def _group(here: int, value, rep, own, at, vec, cross, cosine: float, count: int, half: float):
-    """Links of one group that belong to list ``here``: (index a, index b) arrays."""
-    none = np.zeros(0, np.int64)
-    joined, values = np.frombuffer(b"".join(own), "<i4"), np.frombuffer(b"".join(at), "<f4")
+            rep, size = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+            for dim, rows, x in _by_length(batch.column("vec")):
+                row, lists, value = (np.concatenate(c) for c in zip(*_strips(x, dim, directions, t), strict=True))
+                order = np.lexsort((lists, row))
+                row, lists, value = row[order], lists[order], value[order]
+                cuts = np.searchsorted(row, np.arange(len(rows) + 1))
+                own = pa.array([lists[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                at = pa.array([value[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(lists + (dim << 32)), pa.array(value.astype(np.float32)), pa.array(rep[rows][row]), pa.array(size[rows][row]), own.take(take), at.take(take)], ["list", "value", "rep", "n", "own", "at"])
+
+    return classes.select("rep", "n", "vec").mapInArrow(kernel, "list long, value float, rep long, n long, own binary, at binary")
+
+
+def _windows(value: np.ndarray, half: float, step: int):
+    """(a, b) with a before b in the sorted values and b in the window around a, in slices of about ``step`` pairs."""
+    ahead = np.searchsorted(value, value + half, side="right") - np.arange(len(value)) - 1
+    upto = np.cumsum(ahead)
+    first = 0
+    while first < len(value):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + step, side="right")))
+        n = ahead[first:last]
+        a = np.repeat(np.arange(first, last), n)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        first = last
+
+
+def _passing(here: int, value: np.ndarray, own: list[bytes], at: list[bytes], cross: np.ndarray | None, count: int, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list's rows, sorted by value, that collide ``count`` times or more, and in list ``here`` first."""
+    joined, values = np.frombuffer(b"".join(own), "<i4"), np.frombuffer(b"".join(at), np.float16).astype(np.float32)
     row = np.repeat(np.arange(len(own)), [len(x) // 4 for x in own])
-    lists, counts = np.unique(joined, return_counts=True)
-    lists = lists[counts > 1]  # those that at least two members are in
-    spot = np.searchsorted(lists, joined)
-    spot[spot == len(lists)] = 0
-    good = lists[spot] == joined
+    lists, spot, counts = np.unique(joined, return_inverse=True, return_counts=True)
+    shared = counts > 1  # lists that at least two members are in
+    place = np.cumsum(shared) - 1
+    good = shared[spot]
+    lists, row, spot, values = lists[shared], row[good], place[spot[good]], values[good]
     m = np.zeros((len(own), len(lists)), np.float32)
-    m[row[good], spot[good]] = 1
-    ok = m @ m.T >= count  # common lists: no fewer than collisions
-    ok &= np.abs(value[:, None] - value[None, :]) <= half
-    ok &= np.triu(np.ones(ok.shape, bool), 1)
-    if cross is not None:
-        ok &= cross[:, None] != cross[None, :]
-    a, b = np.nonzero(ok)
-    if not len(a):
-        return none, none
-    m[row[good], spot[good]] = values[good]
-    keep, step = [], max(1, 2_000_000 // len(lists))
-    for i in range(0, len(a), step):
-        x, y = m[a[i : i + step]], m[b[i : i + step]]
+    m[row, spot] = 1
+    common = m @ m.T  # no fewer than collisions
+    m[row, spot] = values
+    keep_a, keep_b = [], []
+    for a, b in _windows(value, half, max(1, 1_000_000 // max(1, len(lists)))):
+        ok = common[a, b] >= count
+        if cross is not None:
+            ok &= cross[a] != cross[b]
+        a, b = a[ok], b[ok]
+        x, y = m[a], m[b]
         met = (x > 0) & (y > 0) & (np.abs(x - y) <= half)
-        keep.append((met.sum(1) >= count) & (lists[met.argmax(1)] == here))
-    keep = np.concatenate(keep)
-    a, b = a[keep], b[keep]
-    if not len(a):
-        return none, none
+        ok = (met.sum(1) >= count) & (lists[met.argmax(1)] == here) if len(a) else np.zeros(0, bool)
+        keep_a.append(a[ok])
+        keep_b.append(b[ok])
+    return np.concatenate(keep_a), np.concatenate(keep_b)
+
+
+def _verified(a: np.ndarray, b: np.ndarray, vec: list[bytes], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose cosine in double precision is ``cosine`` or more."""
     used = np.union1d(a, b)
     unit = np.array([np.frombuffer(vec[i], "<f8") for i in used])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     x, y = np.searchsorted(used, a), np.searchsorted(used, b)
     near = np.concatenate([(unit[x[i : i + 50_000]] * unit[y[i : i + 50_000]]).sum(1) >= cosine for i in range(0, len(x), 50_000)])
-    near &= rep[a] != rep[b]
     return a[near], b[near]
 
 
@@ -154,54 +205,65 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(hits: DataFrame, cosine: float, count: int, half: float, block: int) -> DataFrame:
-    """(rep, links, root) of each group: vectors linked to rep there, and one that its links reach."""
-    sizes = hits.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("rows"))
-    own = hits.join(sizes.where("rows > 1"), ["dim", "list"])
-    own = own.withColumn("parts", F.ceil(F.col("rows") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = own.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other", "rows")
-    keys = ["dim", "list", "i", "j"]
-    n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = own.repartition(n, *keys).sortWithinPartitions(*keys)
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
+    """``rows`` by group (list, i, j), each group sorted by value."""
+    keys = ["list", "i", "j"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, "value", "rep", "n", "part", "own", "at", *more).repartition(n, *keys).sortWithinPartitions(*keys, "value", "rep")
 
-    def kernel(batches):
-        for t in whole_groups(batches, keys, 4_000):
-            columns = [t[k].to_numpy() for k in keys]
-            change = np.zeros(t.num_rows - 1, bool)
-            for c in columns:
-                change |= c[1:] != c[:-1]
-            cuts = np.flatnonzero(np.concatenate(([True], change, [True])))
-            value, rep, size, part = (t[k].to_numpy() for k in ("value", "rep", "n", "part"))
-            lists, at, vec = t["own"].to_pylist(), t["at"].to_pylist(), t["vec"].to_pylist()
-            out = []
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if y - x < 2:
-                    continue
-                cross = part[x:y] if columns[2][x] != columns[3][x] else None
-                a, b = _group(int(columns[1][x]), value[x:y], rep[x:y], lists[x:y], at[x:y], vec[x:y], cross, cosine, count, half)
+
+def _groups(batches, count: int, half: float):
+    """(table, first row, end, pairs) of each group with pairs that pass the count."""
+    keys = ["list", "i", "j"]
+    for t in whole_groups(batches, keys, 4_000):
+        columns = [t[k].to_numpy() for k in keys]
+        change = np.zeros(t.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(np.concatenate(([True], change, [True])))
+        value, part, own, at = t["value"].to_numpy(), t["part"].to_numpy(), t["own"].to_pylist(), t["at"].to_pylist()
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if y - x > 1:
+                cross = part[x:y] if columns[1][x] != columns[2][x] else None
+                a, b = _passing(int(columns[0][x]) & 0xFFFFFFFF, value[x:y], own[x:y], at[x:y], cross, count, half)
                 if len(a):
-                    m = y - x
-                    links = np.bincount(a, size[x:y][b], m) + np.bincount(b, size[x:y][a], m)
-                    root = rep[x:y][_forest(m, a, b)]
-                    some = np.flatnonzero(links > 0)
-                    out.append(np.column_stack([rep[x:y][some], links[some].astype(np.int64), root[some]]))
-            if out:
-                o = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(o[:, k].copy()) for k in range(3)], ["rep", "links", "root"])
+                    yield t, x, y, a, b
 
-    return own.mapInArrow(kernel, "rep long, links long, root long")
+
+def _links(classes: DataFrame, cosine: float, directions: int, tail: float, count: int, half: float, block: int) -> DataFrame:
+    """(rep, links, root) of each group: vectors linked to rep there, and one that its links reach."""
+    places = _places(classes, directions, tail).join(_crowded(classes, directions, tail, block), "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = places.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+    dealt = _dealt(own)
+
+    def counted(batches):
+        for t, x, y, a, b in _groups(batches, count, half):
+            yield from t.slice(x, y - x).take(pa.array(np.union1d(a, b))).to_batches()
+
+    def verified(batches):
+        for t, x, y, a, b in _groups(batches, count, half):
+            m, rep, size = y - x, t["rep"].to_numpy()[x:y], t["n"].to_numpy()[x:y]
+            a, b = _verified(a, b, t["vec"].slice(x, m).to_pylist(), cosine)
+            if len(a):
+                links = np.bincount(a, size[b], m) + np.bincount(b, size[a], m)
+                root, some = rep[_forest(m, a, b)], np.flatnonzero(links > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["rep", "links", "root"])
+
+    open_ = checkpoint(dealt.mapInArrow(counted, dealt.schema))
+    return _dealt(open_.join(classes.select("rep", "vec"), "rep"), "vec").mapInArrow(verified, "rep long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, directions: int = DIRECTIONS, tail: float = TAIL, half: float = HALF_WINDOW, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, rows: int = ROWS, half: float = HALF_WINDOW, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept, at a cosine of ``cosine`` or more.
 
+    ``rows`` is how many ends of projections a vector is in on average: with more of them fewer
+    pairs are missed, at a cost in proportion.
+
     Null or zero vectors, and those with null or non-finite components, link with nothing and are
     their own component; so do vectors with a null vec_id, whose component is null. Vectors of
     different lengths never link. Equal vectors link with each other and share their other links.
     """
-    count, _ = calibrate(cosine, directions, tail, half, recall)
-
     def packed(batches):
         for batch in batches:
             col = batch.column("embedding")
@@ -212,15 +274,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, directions: int = D
                 raw.append((w / np.linalg.norm(w) + 0.0).tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "vec"])
 
-    rows = vectors.select("vec_id", "embedding").mapInArrow(packed, "vec_id long, vec binary")
-    rows = checkpoint(rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("vec")).alias("vec")).withColumn("e1", F.xxhash64("vec")).withColumn("e2", F.xxhash64(F.lit(1), "vec")))
-    filled = rows.where("vec is not null")
+    units = vectors.select("vec_id", "embedding").mapInArrow(packed, "vec_id long, vec binary")
+    units = checkpoint(units.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("vec")).alias("vec")).withColumn("e1", F.xxhash64("vec")).withColumn("e2", F.xxhash64(F.lit(1), "vec")))
+    filled = units.where("vec is not null")
     classes = checkpoint(filled.groupBy("e1", "e2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")))
-    found = checkpoint(_links(checkpoint(_collisions(classes, directions, tail)), cosine, count, half, block))
+    directions, tail = layout(classes.count(), rows)
+    count, _ = calibrate(cosine, directions, tail, half, recall)
+    found = checkpoint(_links(classes, cosine, directions, tail, count, half, block))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = classes.select("e1", "e2", "rep", "n").join(links, "rep", "left").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("e1", "e2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = filled.join(by_class, ["e1", "e2"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = units.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
