@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 The benchmark's n-gram windows are hashed into a sorted array that is broadcast behind a check
-of its size; a larger benchmark is scanned in blocks of items, each within that bound, so the
-broadcast never grows with the input. Training texts are tokenised and their windows hashed in
-vectorised numpy; every hash hit is verified word by word before it counts.
+of its size. A larger benchmark is cut into blocks of items within that bound, which are collected,
+broadcast, scanned and freed one after another, so neither the driver nor a worker ever holds more
+than one. Training texts are tokenised and their windows hashed in vectorised numpy; every hash hit
+is verified word by word before it counts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from geostrata.runtime import checkpoint
 
 WINDOW = 10
 #: The broadcast's bound: characters of benchmark text in one pass over the documents.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 10_000_000
 #: Characters of a piece of an item that is too long for one block.
 PIECE_CHARS = 1_000_000
 _STEP = constants(64, 91)
@@ -39,44 +40,53 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return low, starts, ends, rows, hash_runs(low, starts, ends)
 
 
-def _windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each place; the last n - 1 places have none."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(hashes) - n + 1, np.uint64)
-        for k in range(n):
-            out += hashes[k : len(hashes) - n + 1 + k] * _STEP[k]
-        return mix(out)
+class NgramSet:
+    """The windows of some items, in arrays: about 40 bytes a word besides the words themselves.
 
+    Items' words are numbered by text (``ids``) and stand one after another. For each length, equal
+    windows are one entry: its hash, a place where it stands, and the items that hold it.
+    """
 
-class NgramSet:
-    """The windows of some items: per length, sorted hashes and for each the (words, item) entries."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        texts = pa.array([t for _, t in items], pa.large_string())
-        by: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[int]]]]] = {}
-        for at, data, offsets in blocks(texts):
-            low, starts, ends, rows, hashes = _words(data, offsets)
-            cuts = np.searchsorted(rows, np.arange(len(offsets)))
-            for r in range(len(offsets) - 1):
-                a, b = int(cuts[r]), int(cuts[r + 1])
-                n = min(window, b - a)
-                if not n:
-                    continue
-                words = [low[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                for i, h in enumerate(_windows(hashes[a:b], n).tolist()):
-                    entries, key = by.setdefault(n, {}).setdefault(h, []), tuple(words[i : i + n])
-                    own = next((x for x in entries if x[0] == key), None)
-                    if own is None:
-                        entries.append((key, {items[at + r][0]}))
-                    else:
-                        own[1].add(items[at + r][0])
-        self.by = {n: (np.array(sorted(d), np.uint64), d) for n, d in by.items()}
-        vocabulary = {w for d in by.values() for x in d.values() for key, _ in x for w in key}
-        joined = b" ".join(vocabulary)
-        offsets = np.array([0, len(joined)], np.int64)
-        self.known = np.sort(_words(np.frombuffer(joined, np.uint8), offsets)[4]) if vocabulary else np.zeros(0, np.uint64)
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        self.names = [i for i, _ in items]
+        vocabulary: dict[bytes, int] = {}
+        ids, hashes, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for at, data, offsets in blocks(pa.array([t for _, t in items], pa.large_string())):
+            low, starts, ends, rows, own = _words(data, offsets)
+            ids.append(np.array([vocabulary.setdefault(low[s:e].tobytes(), len(vocabulary)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32))
+            hashes.append(own)
+            owner.append((rows + at).astype(np.int32))
+        self.ids, hashes, owner = np.concatenate(ids), np.concatenate(hashes), np.concatenate(owner)
+        self.words = list(vocabulary)
+        self.known = np.unique(hashes)
+        first, last = (np.searchsorted(owner, owner, side=s) for s in ("left", "right"))
+        short = np.flatnonzero((last - first < window) & (first == np.arange(len(owner))))
+        self.by: dict[int, tuple] = {}
+        for n in {window, *(last - first)[short].tolist()}:
+            starts = np.flatnonzero(np.arange(len(owner)) + n <= last) if n == window else short[(last - first)[short] == n]
+            if len(starts):
+                self.by[n] = self._entries(starts, n, hashes, owner)
+
+    def _entries(self, starts: np.ndarray, n: int, hashes: np.ndarray, owner: np.ndarray) -> tuple:
+        """(hashes in order, a place, first item number and end of each entry; item numbers)."""
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(starts), np.uint64)
+            for k in range(n):
+                h += hashes[starts + k] * _STEP[k % 64]
+            h = mix(h)
+        order = np.lexsort((owner[starts], h))
+        h, starts = h[order], starts[order]
+        same = lambda x, y: np.all([self.ids[x + k] == self.ids[y + k] for k in range(n)], axis=0)
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        lead = starts[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        if not same(starts, lead).all():  # different windows with one hash: each set of equal words is an entry
+            order = sorted(range(len(h)), key=lambda i: (h[i], self.ids[starts[i] : starts[i] + n].tolist(), owner[starts[i]]))
+            h, starts = h[order], starts[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | ~same(starts[1:], starts[:-1])))
+        entry, item = np.cumsum(new) - 1, owner[starts]
+        fresh = np.concatenate(([True], (entry[1:] != entry[:-1]) | (item[1:] != item[:-1])))
+        cuts = np.searchsorted(entry[fresh], np.arange(entry[-1] + 2))
+        return h[new], starts[new], cuts, item[fresh]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
         """(words, starts, ends, rows, hit word flags, {row: items}) of a block of texts."""
@@ -87,7 +97,7 @@ class NgramSet:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         known = self.known[at] == hashes
         sums = np.concatenate(([0], np.cumsum(known)))
-        for n, (keys, entries) in self.by.items():
+        for n, (keys, place, cuts, of) in self.by.items():
             if len(hashes) < n:
                 continue
             full = np.flatnonzero((sums[n:] - sums[:-n] == n) & (rows[n - 1 :] == rows[: len(rows) - n + 1]))
@@ -96,16 +106,17 @@ class NgramSet:
             h = np.zeros(len(full), np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(n):
-                    h += hashes[full + k] * _STEP[k]
+                    h += hashes[full + k] * _STEP[k % 64]
             h = mix(h)
-            found = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            for p, v in zip(full[found].tolist(), h[found].tolist(), strict=True):
-                words = tuple(low[s:e].tobytes() for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True))
-                for key, of in entries[v]:
-                    if key == words:
+            left, right = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+            found = left < right
+            for p, i, j in zip(full[found].tolist(), left[found].tolist(), right[found].tolist(), strict=True):
+                words = [low[s:e].tobytes() for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True)]
+                for entry in range(i, j):
+                    if words == [self.words[w] for w in self.ids[place[entry] : place[entry] + n].tolist()]:
                         hit[p : p + n] = True
-                        items.setdefault(int(rows[p]), set()).update(of)
-        return low, starts, ends, rows, hit, items
+                        items.setdefault(int(rows[p]), set()).update(of[cuts[entry] : cuts[entry + 1]].tolist())
+        return low, starts, ends, rows, hit, {r: {self.names[i] for i in own} for r, own in items.items()}
 
 
 def _pieces(text: str, window: int, chars: int) -> Iterator[str]:
@@ -146,6 +157,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: in
     """
     if block_chars < 2 * window - 1:
         raise ValueError(f"block_chars is {block_chars}; a window of {window} words has {2 * window - 1} characters or more")
+    # the sizes alone; texts come with the blocks
     measure = lambda d: d.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("most")).first()
     items = benchmark.where("text is not null").select("item_id", "text")
     size = measure(items)
@@ -192,15 +204,16 @@ def _flagged(batch: pa.RecordBatch, grams: NgramSet | None, marks: list | None):
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> tuple[DataFrame, object | None]:
-    """``docs`` and the broadcast n-grams; or, for a benchmark of several blocks, ``docs`` with ``_marks`` and ``_items``.
+    """``docs`` and the broadcast n-grams; or, for a benchmark of several blocks, ``docs`` with two columns more: hit words and items.
 
-    With several blocks each is scanned in a pass of its own, so no task holds more than one, and
-    the passes' hits are put together by document (its id and its text's hash).
+    Each of several blocks is scanned in a pass of its own, whose hits are written before the next
+    one is collected. The passes' hits are put together by document (its id and its text's hash).
     """
     sc = docs.sparkSession.sparkContext
-    sets = [sc.broadcast(NgramSet(b, window)) for b in item_blocks(benchmark, block_chars, window)] or [sc.broadcast(NgramSet([], window))]
-    if len(sets) == 1:
-        return docs, sets[0]
+    each = item_blocks(benchmark, block_chars, window)
+    block, after = next(each, []), next(each, None)
+    if after is None:
+        return docs, sc.broadcast(NgramSet(block, window))
 
     def scan(grams):
         def kernel(batches):
@@ -216,14 +229,20 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_chars:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(marks, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["_id", "_h", "m", "i"])
 
         keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        return keyed.mapInArrow(kernel, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, m array<int>, i array<string>")
-
-    hits = scan(sets[0])
-    for s in sets[1:]:
-        hits = hits.unionByName(scan(s))
-    hits = hits.groupBy("_id", "_h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("m")))).alias("_marks"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("_items"))
+        return checkpoint(keyed.mapInArrow(kernel, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, m array<int>, i array<string>"))
+
+    hits = None
+    while block is not None:
+        grams = sc.broadcast(NgramSet(block, window))
+        part = scan(grams)
+        grams.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+        block, after = after, next(each, None)
+    hits = hits.groupBy("_id", "_h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("m")))).alias("m"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("i"))
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_h"]), "left")
-    return joined.select(*(docs[c] for c in docs.columns), "_marks", "_items"), None
+    taken = {c.lower() for c in docs.columns}
+    marks, items = (next(x for n in range(len(taken) + 1) if (x := name + "_" * n) not in taken) for name in ("_marks", "_items"))
+    return joined.select(*(docs[c] for c in docs.columns), hits["m"].alias(marks), hits["i"].alias(items)), None
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
