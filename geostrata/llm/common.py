@@ -7,7 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Rows that one key may have in a shuffled join.
+HOT_ROWS = 100_000
 #: Bytes of text that a kernel works on at once; a longer single text makes a block of its own.
 BLOCK_BYTES = 500_000
 
@@ -117,3 +121,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
             n = held[0].num_rows if at else 0
     if held and (t := pa.concat_tables(held).combine_chunks()).num_rows:
         yield t
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: int | None = None) -> DataFrame:
+    """``left`` joined with one row a key of ``right``, whose column ``n`` tells how many rows of ``left`` have it.
+
+    Keys with more than ``hot`` rows are broadcast, of which there are at most (rows of ``left``) /
+    ``hot``; their rows stay where they are instead of meeting in one task. ``n`` is dropped.
+    """
+    hot = HOT_ROWS if hot is None else hot
+    many, few = right.where(F.col("n") > hot).drop("n"), right.where(F.col("n") <= hot).drop("n")
+    rest = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(few, on, how)
+    return left.join(F.broadcast(many), on).unionByName(rest)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks, hash_runs, mix, runs
+from geostrata.llm.common import blocks, hash_runs, join_counted, mix, runs
 from geostrata.runtime import checkpoint
 
 MIN_WORDS = 50
@@ -103,8 +103,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     places = checkpoint(_positions(docs, min_words).dropDuplicates(["doc_id", "h", "at"]))
     place = F.struct("doc_id", "h", "at")
-    lines = places.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x1", "x2")
-    ranks = checkpoint(places.join(_ranked(lines, ["x1", "x2"]), ["x1", "x2"]).select("doc_id", "h", "at", "ahead", "back", "rank"))
+    lines = places.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranks = checkpoint(join_counted(places, _ranked(lines, ["x1", "x2"]), ["x1", "x2"]).select("doc_id", "h", "at", "ahead", "back", "rank"))
     windows = ranks.where("ahead > 0").select("doc_id", "h", "at", F.col("ahead").alias("size"))
     windows = windows.unionByName(ranks.where("back > 1").select("doc_id", "h", (F.col("at") - F.col("back") + 1).alias("at"), F.col("back").alias("size"))).distinct()
     windows = checkpoint(windows)
@@ -123,15 +123,15 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         else:
             named = named.withColumn("r2", F.col("r1"))
         named = checkpoint(named)
-        first = checkpoint(named.groupBy("size", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        copies = named.join(first, ["size", "r1", "r2"]).where(place > F.col("first")).select("doc_id", "h", "at", "size")
+        first = checkpoint(named.groupBy("size", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        copies = join_counted(named, first, ["size", "r1", "r2"]).where(place > F.col("first")).select("doc_id", "h", "at", "size")
         found = copies if found is None else found.unionByName(copies)
         if 2 * block > longest:
             break
         left, right = ranks.select("doc_id", "h", "at", F.col("rank").alias("r1")), ranks.select("doc_id", "h", (F.col("at") - block).alias("at"), F.col("rank").alias("r2"))
         pairs = checkpoint(left.join(right, same(left, right)).select(left["doc_id"], left["h"], left["at"], "r1", "r2"))
-        classes = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1", "r2")
-        ranks = checkpoint(pairs.join(_ranked(classes, ["r1", "r2"]), ["r1", "r2"]).select("doc_id", "h", "at", "rank"))
+        classes = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        ranks = checkpoint(join_counted(pairs, _ranked(classes, ["r1", "r2"]), ["r1", "r2"]).select("doc_id", "h", "at", "rank"))
         k += 1
     return found if found is not None else windows.limit(0)
 
@@ -199,7 +199,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row: doc_id, n_lines (not blank), n_deleted, deleted (their places, comma-joined), text_sha256 (of what stays)."""
+    """Per row: doc_id, n_lines (not blank), n_deleted, deleted (their places, comma-joined), text_sha256 (of what stays).
+
+    A null text reads as empty. Rows that agree in doc_id and text are one document and lose the
+    same lines; among equal runs the one of the lowest doc_id (null first) stays. Long texts are
+    read as a whole; an empty table gives none; other columns are ignored.
+    """
     marked, deleted, _ = _with_deleted(docs.select("doc_id", "text"), min_words)
 
     def kernel(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks, constants, hash_runs, lower_ascii, mix, runs, whole_groups
+from geostrata.llm.common import blocks, constants, hash_runs, join_counted, lower_ascii, mix, runs, whole_groups
 from geostrata.operators.components import connected_components
 from geostrata.runtime import checkpoint
 
@@ -30,6 +30,8 @@ SHINGLE, THRESHOLD = 5, 80
 SYMBOLS, ERRORS = 64, 1
 #: Classes of a bucket, and documents of a candidate component, that one task compares at a time.
 BLOCK, PART = 2_000, 1_000
+#: Shingles of all documents of such a part.
+PART_SHINGLES = 1_000_000
 #: Documents whose ids are broadcast to pick their texts; more are joined by a shuffle.
 PICK_IDS = 300_000
 
@@ -295,16 +297,17 @@ def _linked(rows: DataFrame, keys: list[str], size: int, threshold: int, between
 
 
 def links(members: DataFrame, docs: DataFrame, size: int, threshold: int, block: int = PART) -> DataFrame:
-    """(a, b): a forest of all links inside each candidate component (rep, component), confirmed on full shingle sets.
+    """(a, b): a forest of all links inside each candidate component (rep, component, n_shingles), confirmed on full shingle sets.
 
-    A component is cut into parts of about ``block`` documents. First all pairs inside each part
+    A component is cut into parts of about ``block`` documents or ``PART_SHINGLES`` shingles. First all pairs inside each part
     are decided, and all pairs with the component's first document. What is then linked with most
     of a component is its core; where a component of several parts has other documents, those are
     decided against all of it, part by part. Of ids on several rows any text may stand for the id.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    own = members.join(sizes, "component").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    own = checkpoint(own.where("n > 1").select("rep", "component", "parts", "part"))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("_shingles")).where("n > 1")
+    sizes = checkpoint(sizes.select("component", "n", F.ceil(F.greatest(F.col("n") / block, F.col("_shingles") / PART_SHINGLES)).cast("int").alias("parts")))
+    own = join_counted(members, sizes, ["component"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own = checkpoint(own.select("rep", "component", "parts", "part"))
     lead = F.when(F.col("rep") == F.col("component"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     with_text = _texts(own, docs)
     inside = checkpoint(_linked(with_text.withColumn("part", F.explode(lead)), ["component", "part"], size, threshold, False))
@@ -337,8 +340,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     """
     rows = checkpoint(sketch(docs, size))
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpoint(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    same = filled.join(classes.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    classes = checkpoint(rows.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")).where("rep is not null"))
     one = classes.groupBy("rep").agg(F.min("sig").alias("sig"))  # ids on several rows, with different texts
     repeated = filled.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
 
@@ -347,17 +349,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     shared = checkpoint(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     buckets = keys.join(shared, "key").join(one, "rep")
     near = connected_components(candidates(buckets, bound))
-    confirmed = links(checkpoint(near.select(F.col("node").alias("rep"), "component")), docs, size, threshold)
+    long_ = classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+    confirmed = links(checkpoint(near.select(F.col("node").alias("rep"), "component").join(long_, "rep")), docs, size, threshold)
 
     final = connected_components(confirmed)
-    by_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("own"))
+    by_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", "n", F.coalesce("component", "rep").alias("own"))
     lowest = by_class
     if repeated.limit(1).count():  # an id on rows with different texts links their classes
         ends = filled.join(repeated, "doc_id", "left_semi").join(by_class, ["f1", "f2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("own").alias("b"))
         again = connected_components(ends)
-        lowest = by_class.join(again.select(F.col("node").alias("own"), "component"), "own", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "own").alias("own"))
+        lowest = by_class.join(again.select(F.col("node").alias("own"), "component"), "own", "left").select("f1", "f2", "n_shingles", "n", F.coalesce("component", "own").alias("own"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = rows.where("n_shingles > 0").join(lowest, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.col("own").alias("component_id"))
+    found = join_counted(rows.where("n_shingles > 0"), lowest, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.col("own").alias("component_id"))
     return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

@@ -124,7 +124,9 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE
     """``docs`` with entities and disclosing terms generalised to their kind's name in brackets.
 
     Terms that reveal ``remove`` or more are removed instead. Of overlapping spans the first
-    holds, and of an entity and a term that start together the entity. ``n_chars``, where the table has it, follows. Null texts stay null.
+    holds, and of an entity and a term that start together the entity. ``n_chars``, where the table
+    has it, follows. Null texts stay null; repeated rows are treated alike; an empty table gives
+    none; columns of any other name are carried along.
     """
     s = _spans(docs, support, disclose)
 
@@ -144,6 +146,6 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE
         out = F.when(fresh, F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, c["start"] - acc["at"]), c["by"])).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), acc["t"].alias("t"), out.alias("out"))
 
-    new = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.aggregate("_cuts", zero, step, lambda a: F.concat(a["out"], a["t"].substr(a["at"] + 1, F.length(a["t"])))))
+    new = F.when(marked["_cuts"].isNull(), docs["text"]).otherwise(F.aggregate(marked["_cuts"], zero, step, lambda a: F.concat(a["out"], a["t"].substr(a["at"] + 1, F.length(a["t"])))))
     out = own.select(*(new.alias("text") if c == "text" else docs[c] for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -174,12 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     """Trees from at most ``max_train`` labelled documents that are not held out.
 
     The ids with the smallest hashes are taken, so the choice doesn't depend on partitions. Null
-    ids and null labels teach nothing; of repeated labels the mean decides. Without rows of both
-    labels the score is one smoothed share.
+    ids and null labels teach nothing; of repeated labels the mean decides, and of texts with one id
+    that with the smallest hash. Without rows of both labels the score is one smoothed share.
     """
     ids = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * max_train)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def kernel(batches):
         for b in batches:
@@ -194,7 +195,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null texts are scored as empty ones."""
+    """Per row: doc_id, held_out, score, predicted.
+
+    Null texts are scored as empty ones, and long ones as a whole. Rows with equal or null doc_id
+    stay separate rows, of which equal texts have equal scores. An empty table gives none; other
+    columns are ignored. Without labels every score is 0.5.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))
 
     def kernel(batches):

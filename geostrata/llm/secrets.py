@@ -120,13 +120,16 @@ def secret_report(docs: DataFrame, model: RandomForestClassificationModel | None
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each secret replaced by ``[SECRET]``; other columns as they were, ``n_chars`` follows."""
+    """``docs`` with each secret replaced by ``[SECRET]``; other columns as they were, ``n_chars`` follows.
+
+    Null texts stay null, repeated rows are treated alike and an empty table gives none.
+    """
     found = findings(docs, model, threshold).where("secret").select("doc_id", "h", "start", "end").distinct()
     own = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_cuts")
     joined = docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]) & (F.xxhash64(docs["text"]) == own["_h"]), "left")
     zero = F.struct(F.lit(0).alias("at"), docs["text"].alias("t"), F.lit("").alias("out"))
     step = lambda a, c: F.struct(c["end"].alias("at"), a["t"].alias("t"), F.concat(a["out"], a["t"].substr(a["at"] + 1, c["start"] - a["at"]), F.lit("[SECRET]")).alias("out"))
-    new = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.aggregate("_cuts", zero, step, lambda a: F.concat(a["out"], a["t"].substr(a["at"] + 1, F.length(a["t"])))))
+    new = F.when(own["_cuts"].isNull(), docs["text"]).otherwise(F.aggregate(own["_cuts"], zero, step, lambda a: F.concat(a["out"], a["t"].substr(a["at"] + 1, F.length(a["t"])))))
     out = joined.select(*(new.alias("text") if c == "text" else docs[c] for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

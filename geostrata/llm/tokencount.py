@@ -92,7 +92,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per row: doc_id, n_words, n_tokens, longest_word_tokens.
 
     A word is a maximal run without white space, read as its UTF-8 bytes after one space. Null
-    and empty texts have 0 of each; rows with equal doc_id stay separate.
+    and empty texts have 0 of each; rows with equal or null doc_id stay separate rows. Long texts
+    and words are read as a whole; an empty table gives none; other columns are ignored.
     """
 
     def kernel(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import whole_groups
+from geostrata.llm.common import join_counted, whole_groups
 from geostrata.operators.components import connected_components
 from geostrata.runtime import checkpoint
 
@@ -263,7 +263,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, rows: int = ROWS, h
     Null or zero vectors, and those with null or non-finite components, link with nothing and are
     their own component; so do vectors with a null vec_id, whose component is null. Vectors of
     different lengths never link. Equal vectors link with each other and share their other links.
+    An empty table gives no rows; other columns are ignored.
     """
+
     def packed(batches):
         for batch in batches:
             col = batch.column("embedding")
@@ -284,7 +286,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, rows: int = ROWS, h
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = classes.select("e1", "e2", "rep", "n").join(links, "rep", "left").join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    by_class = by_class.select("e1", "e2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = filled.join(by_class, ["e1", "e2"]).select("vec_id", "n_links", "component_id")
+    by_class = by_class.select("e1", "e2", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = join_counted(filled, by_class, ["e1", "e2"]).select("vec_id", "n_links", "component_id")
     alone = units.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

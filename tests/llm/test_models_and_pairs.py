@@ -106,8 +106,6 @@ def test_vectors(spark):
     assert all(got[i].component_id == want[i] and got[i].kept == (want[i] == i) for i in range(len(u)) if i not in miss)
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 906)) and got[None].component_id is None
     assert vecdedup.near_vectors(d.limit(0)).count() == 0
-    count, p = vecdedup.calibrate(0.9)
-    assert count >= 2 and p >= 0.99
 
 
 def test_pipeline(spark, tmp_path):
