@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Rows that one key may have in a shuffled join.
 HOT_ROWS = 100_000
+#: Bytes of an Arrow batch that goes to a Python worker: ten thousand long texts at once would fill several copies of it.
+BATCH_BYTES = 4_000_000
 #: Bytes of text that a kernel works on at once; a longer single text makes a block of its own.
-BLOCK_BYTES = 500_000
+BLOCK_BYTES = 160_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,3 +135,11 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     many, few = right.where(F.col("n") > hot).drop("n"), right.where(F.col("n") <= hot).drop("n")
     rest = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(few, on, how)
     return left.join(F.broadcast(many), on).unionByName(rest)
+
+
+def mapped(rows: DataFrame, kernel, schema) -> DataFrame:
+    """``rows.mapInArrow`` in batches of about ``BATCH_BYTES``, unless the session names a bound of its own."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in (None, "67108864b"):  # Spark's default
+        conf.set(name, str(BATCH_BYTES))
+    return rows.mapInArrow(kernel, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks, constants, hash_runs, lower_ascii, mix, runs
+from geostrata.llm.common import blocks, constants, hash_runs, lower_ascii, mapped, mix, runs
 from geostrata.runtime import checkpoint
 
 WINDOW = 10
@@ -147,7 +147,7 @@ def _cut_items(items: DataFrame, window: int, block_chars: int) -> DataFrame:
                 for piece in _pieces(text, window, min(block_chars, PIECE_CHARS)) if len(text) > block_chars else [text]:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([piece], batch.column(1).type)], ["item_id", "text"])
 
-    return items.mapInArrow(kernel, items.schema)
+    return mapped(items, kernel, items.schema)
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: int = WINDOW) -> Iterator[list[tuple[int, str | None]]]:
@@ -229,7 +229,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_chars:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(marks, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["_id", "_h", "m", "i"])
 
         keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-        return checkpoint(keyed.mapInArrow(kernel, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, m array<int>, i array<string>"))
+        return checkpoint(mapped(keyed, kernel, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, m array<int>, i array<string>"))
 
     hits = None
     while block is not None:
@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(hits > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(kernel, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return mapped(marked, kernel, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "spans", window: int = WINDOW, max_share: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -309,5 +309,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "spans",
                 batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, texts.type))
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    out = marked.mapInArrow(kernel, docs.schema)
+    out = mapped(marked, kernel, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

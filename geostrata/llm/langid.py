@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks
+from geostrata.llm.common import blocks, mapped
 
 BITS, DIM = 14, 16
 #: Bound on the documents that the model is trained and calibrated on.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
                     counts.append(n.astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["id", "lang", "ids", "counts"])
 
-    found = rows.mapInArrow(kernel, "id string, lang string, ids array<int>, counts array<float>").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    found = mapped(rows, kernel, "id string, lang string, ids array<int>, counts array<float>").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
     as_arrays = lambda name: [np.asarray(x.values.to_numpy()) for x in found[name]]
     return fit(as_arrays("ids"), as_arrays("counts"), found["lang"].to_pylist())
 
@@ -190,4 +190,4 @@ def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(s), pa.array((s < m.reject_below) | np.array([x == UNKNOWN for x in lang], bool))], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(kernel, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return mapped(docs.select("doc_id", held_out().alias("held_out"), "text"), kernel, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks, hash_runs, join_counted, mix, runs
+from geostrata.llm.common import blocks, hash_runs, join_counted, mapped, mix, runs
 from geostrata.runtime import checkpoint
 
 MIN_WORDS = 50
@@ -67,7 +67,7 @@ def _positions(docs: DataFrame, min_words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null")
-    return keyed.mapInArrow(kernel, f"doc_id {kind}, h long, at int, ahead int, back int, x1 long, x2 long")
+    return mapped(keyed, kernel, f"doc_id {kind}, h long, at int, ahead int, back int, x1 long, x2 long")
 
 
 def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +85,7 @@ def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = classes.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
-    numbered = checkpoint(ordered.mapInArrow(number, f"{fields}, part int, place long"))
+    numbered = checkpoint(mapped(ordered, number, f"{fields}, part int, place long"))
     counts = sorted((r["part"], r["n"]) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     offset, rows = 0, []
     for part, size in counts:  # as many as partitions
@@ -194,7 +194,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
             yield batch.filter(pa.array(keep))
 
     docs_columns = docs.columns
-    out = marked.mapInArrow(kernel, docs.schema)
+    out = mapped(marked, kernel, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -221,4 +221,4 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(joined, pa.string()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_deleted", "deleted", "text_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(kernel, f"doc_id {kind}, n_lines long, n_deleted long, deleted string, text_sha256 string")
+    return mapped(marked, kernel, f"doc_id {kind}, n_lines long, n_deleted long, deleted string, text_sha256 string")

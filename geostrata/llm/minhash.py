@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks, constants, hash_runs, join_counted, lower_ascii, mix, runs, whole_groups
+from geostrata.llm.common import blocks, constants, hash_runs, join_counted, lower_ascii, mapped, mix, runs, whole_groups
 from geostrata.operators.components import connected_components
 from geostrata.runtime import checkpoint
 
@@ -115,7 +115,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             raw = [s.tobytes() if k else None for s, k in zip(sig, n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def bucket_keys(classes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
@@ -137,7 +137,7 @@ def bucket_keys(classes: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
             for i in range(0, len(key), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 50_000]), pa.array(rep[i : i + 50_000])], ["key", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(kernel, "key long, rep long")
+    return mapped(classes.select("rep", "sig"), kernel, "key long, rep long")
 
 
 def _dealt(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
@@ -230,7 +230,7 @@ def candidates(buckets: DataFrame, bound: int, block: int = BLOCK) -> DataFrame:
                 out = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
 
-    return dealt.mapInArrow(kernel, "a long, b long").distinct()
+    return mapped(dealt, kernel, "a long, b long").distinct()
 
 
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int, slice_: int = 4096) -> np.ndarray:
@@ -293,7 +293,7 @@ def _linked(rows: DataFrame, keys: list[str], size: int, threshold: int, between
                 out = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
 
-    return dealt.mapInArrow(kernel, "a long, b long").where("a <> b").distinct()
+    return mapped(dealt, kernel, "a long, b long").where("a <> b").distinct()
 
 
 def links(members: DataFrame, docs: DataFrame, size: int, threshold: int, block: int = PART) -> DataFrame:

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from geostrata.llm.common import mapped
+
 MAX_LEN = 2048
 #: Entries of a worker's table of ids by white-space chunk. Beyond that it starts anew, and what is met
 #: again comes from the table before.
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 200_000
 END_ID = 1
 
 _LATIN = re.compile("[\x00-\xff]*")
@@ -143,4 +145,4 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(kernel, schema)
+    return mapped(docs.select("doc_id", "text"), kernel, schema)

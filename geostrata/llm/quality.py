@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import blocks, hash_runs, mix, runs
+from geostrata.llm.common import blocks, hash_runs, mapped, mix, runs
 
 #: Bound on the labelled rows that the trees are grown from.
 MAX_TRAIN = 12_000
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
             x = _statistics_table(b).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], ["id", "quality", "x"])
 
-    found = rows.mapInArrow(kernel, "id string, quality int, x array<float>").toArrow().sort_by("id")
+    found = mapped(rows, kernel, "id string, quality int, x array<float>").toArrow().sort_by("id")
     if not found.num_rows:
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float)
@@ -209,7 +209,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(kernel, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(docs.select("doc_id", held_out().alias("held_out"), "text"), kernel, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -220,4 +220,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         for b in batches:
             yield b.filter(pa.array(model.value.score(_statistics_table(b).astype(np.float32).astype(float)) >= threshold))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return mapped(docs, kernel, docs.schema)

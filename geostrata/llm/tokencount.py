@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from geostrata.llm.common import mapped
+
 #: Entries of a worker's table of counts by chunk; it starts anew beyond that.
 CACHE_ENTRIES = 150_000
 
@@ -116,4 +118,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.int64)) for x in (words, tokens, longest))], ["doc_id", "n_words", "n_tokens", "longest_word_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {kind}, n_words long, n_tokens long, longest_word_tokens long")
+    return mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_words long, n_tokens long, longest_word_tokens long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import join_counted, whole_groups
+from geostrata.llm.common import join_counted, mapped, whole_groups
 from geostrata.operators.components import connected_components
 from geostrata.runtime import checkpoint
 
@@ -117,7 +117,7 @@ def _crowded(classes: DataFrame, directions: int, tail: float, block: int) -> Da
                     of, n = np.unique(lists, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(of + (dim << 32)), pa.array(n)], ["list", "n"])
 
-    sizes = classes.select("vec").mapInArrow(kernel, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    sizes = mapped(classes.select("vec"), kernel, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
     return checkpoint(sizes.where(F.col("n") > block).select("list", F.ceil(F.col("n") / block).cast("int").alias("parts")))
 
 
@@ -138,7 +138,7 @@ def _places(classes: DataFrame, directions: int, tail: float) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists + (dim << 32)), pa.array(value.astype(np.float32)), pa.array(rep[rows][row]), pa.array(size[rows][row]), own.take(take), at.take(take)], ["list", "value", "rep", "n", "own", "at"])
 
-    return classes.select("rep", "n", "vec").mapInArrow(kernel, "list long, value float, rep long, n long, own binary, at binary")
+    return mapped(classes.select("rep", "n", "vec"), kernel, "list long, value float, rep long, n long, own binary, at binary")
 
 
 def _windows(value: np.ndarray, half: float, step: int):
@@ -250,8 +250,8 @@ def _links(classes: DataFrame, cosine: float, directions: int, tail: float, coun
                 root, some = rep[_forest(m, a, b)], np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["rep", "links", "root"])
 
-    open_ = checkpoint(dealt.mapInArrow(counted, dealt.schema))
-    return _dealt(open_.join(classes.select("rep", "vec"), "rep"), "vec").mapInArrow(verified, "rep long, links long, root long")
+    open_ = checkpoint(mapped(dealt, counted, dealt.schema))
+    return mapped(_dealt(open_.join(classes.select("rep", "vec"), "rep"), "vec"), verified, "rep long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, rows: int = ROWS, half: float = HALF_WINDOW, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -276,7 +276,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, rows: int = ROWS, h
                 raw.append((w / np.linalg.norm(w) + 0.0).tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "vec"])
 
-    units = vectors.select("vec_id", "embedding").mapInArrow(packed, "vec_id long, vec binary")
+    units = mapped(vectors.select("vec_id", "embedding"), packed, "vec_id long, vec binary")
     units = checkpoint(units.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("vec")).alias("vec")).withColumn("e1", F.xxhash64("vec")).withColumn("e2", F.xxhash64(F.lit(1), "vec")))
     filled = units.where("vec is not null")
     classes = checkpoint(filled.groupBy("e1", "e2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")))
