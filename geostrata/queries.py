@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.functions.geo import project
-from geostrata.functions.render import absolute_fill, band_label
+from geostrata.functions.render import absolute_fill, absolute_legend, band_fill, band_label, band_legend, subarea_label
 from geostrata.operators import admin, breaks, pass1, pass2, spatial, suggest
 from geostrata.operators.dbscan import core_points, dbscan, neighbour_sums
 from geostrata.operators.hdbscan import hdbscan, reachability_edges
 from geostrata.plans import output
+from geostrata.plans import params as params_of
 from geostrata.sources.raster import Filter, Raster, allocate, apply_filters, outside_counts
 from geostrata.streaming.session_log import as_log, counts
 
@@ -214,13 +215,13 @@ def _banded(spark, sf_dir):
 
 
 def q_jenks_breaks(spark, sf_dir):
-    t = breaks.band_table(_banded(spark, sf_dir), "value", ["parent"], breaks.Banding(max_bands=2))
+    t = breaks.band_table(_banded(spark, sf_dir), "value", ["parent"])
     return t.select("parent", "k", F.array_join("breaks", ",").alias("breaks"), "method", "flag")
 
 
 def q_band_ranges(spark, sf_dir):
     b = _banded(spark, sf_dir)
-    t = breaks.band_table(b, "value", ["parent"], breaks.Banding(max_bands=2))
+    t = breaks.band_table(b, "value", ["parent"])
     own = b.join(t.select("parent", "k", "breaks"), "parent").withColumn("band", breaks.band_of(F.col("value"), F.col("breaks")))
     return own.groupBy("parent", "band", "k").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")).select("parent", "band", "lo", "hi", "n", band_label(F.col("band"), F.col("k")).alias("band_label"))
 
@@ -274,6 +275,68 @@ def q_band_class(spark, sf_dir):
     return output.select_class(_pass2(spark, sf_dir)[2], "band", which="lowest")
 
 
+def q_range_class(spark, sf_dir):
+    return output.select_class(_pass2(spark, sf_dir)[2], "range", lo=0.5, hi=1.5)
+
+
+def q_band_legend(spark, sf_dir):
+    r = _pass2(spark, sf_dir)[2]
+    return band_legend(r.subareas, r.clusters)
+
+
+def q_subarea_labels(spark, sf_dir):
+    r = _pass2(spark, sf_dir)[2]
+    t = r.subareas.join(r.clusters.select("parent", "k"), "parent")
+    return t.select("group_id", subarea_label(F.col("band"), F.col("k"), F.col("scattered")).alias("label"), band_fill(F.col("band"), F.col("k")).alias("fill"))
+
+
+def q_subarea_config(spark, sf_dir):
+    p, lab, r = _pass2(spark, sf_dir)
+    u = units(spark, sf_dir)
+    names = admin.cluster_names(lab, pass1.summarise(p.join(lab, "idx")), admin.locate(p, u), u)
+    params = params_of.standard_values() | {"eps_km": EPS / 1000}
+    config = output.run_config(params, {"eps_km": "user"}, "2026-01-01T00:00:00Z", "1")
+    t = output.with_config(output.subarea_properties(r), names, config, params, r)
+    return t.select("subarea_id", "cluster_name", "cfg_algorithm", "cfg_distance_km", "cfg_distance_source", "cfg_subarea_method", "cfg_bands_max", "cfg_band_count", "cfg_banding_method", "cfg_min2", F.round("cfg_eps2_km", 9).alias("cfg_eps2_km"))
+
+
+def q_composition_text(spark, sf_dir):
+    p, lab = labels(spark, sf_dir)
+    return output.composition_text(lab, p, ["label"])
+
+
+def q_last_mile_layers(spark, sf_dir):
+    return output.last_mile_layers(*labels(spark, sf_dir))
+
+
+def q_absolute_legend(spark, sf_dir):
+    s = points(spark, sf_dir).groupBy("nk").agg(F.round(F.avg("ability"), 3).alias("mean_ability"))
+    return absolute_legend(s).select(F.col("stop").cast("long").alias("stop"), F.round("value", 9).alias("value"), "colour")
+
+
+def q_display_names(spark, sf_dir):
+    u = units(spark, sf_dir)
+    ids = u.select("id").unionByName(spark.range(1).select(F.lit("outside").alias("id"))).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    ids = ids.select(F.concat(F.col("k").cast("string"), F.lit("@"), "id").alias("piece"))
+    none = spark.range(0).select(F.col("id").cast("int").alias("id"), F.lit("").alias("name"))
+    return admin.display_names(ids, none, u, "piece").select("cluster_name", "piece")
+
+
+def q_cluster_points(spark, sf_dir):
+    return pass1.cluster_points(points(spark, sf_dir).select("idx", "id", "lon", "lat", "source"), eps_km=EPS / 1000, min_pts=MIN_PTS).labels
+
+
+def q_noise_share(spark, sf_dir):
+    """The shares that the guard of the suggested parameters looks at."""
+    s = suggest.shares(points(spark, sf_dir), EPS / 1000, MIN_PTS)
+    return spark.createDataFrame([(round(s["largest"], 9), round(s["noise"], 9))], "largest double, noise double")
+
+
+def q_core_points_floors(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("population", F.coalesce("population", F.lit(0.0)))
+    return core_points(p, EPS, MIN_PTS, floors={"population": 30_000.0})
+
+
 def q_absolute_colour(spark, sf_dir):
     s = points(spark, sf_dir).groupBy("nk").agg(F.round(F.avg("ability"), 3).alias("mean_ability"))
     return absolute_fill(s).select("nk", "mean_ability", "fill")
@@ -315,29 +378,81 @@ QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith
 _STATS = "round(coalesce(sum(population), 0), 2) AS population, round(CASE WHEN sum(CASE WHEN ability IS NOT NULL THEN population END) > 0 THEN sum(population * ability) / sum(CASE WHEN ability IS NOT NULL THEN population END) END, 6) AS mean_ability, count(*) FILTER (population IS NULL) AS missing_pop"
 _KNN = "kn AS (SELECT a.idx, b.idx AS other, (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m) AS d2, row_number() OVER (PARTITION BY a.idx ORDER BY (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m), b.idx) AS rank FROM p a JOIN p b ON a.idx <> b.idx) "
 _SAMPLE = f"rs AS ({RASTER_SQL}), s AS (SELECT p.idx, p.lon, p.lat, rs.value, CAST(floor((p.lat - 6.0) / -0.15) AS BIGINT) BETWEEN 0 AND 499 AND CAST(floor((p.lon - 30.6) / 0.15) AS BIGINT) BETWEEN 0 AND 39 AS covered FROM p LEFT JOIN rs ON rs.r = CAST(floor((p.lat - 6.0) / -0.15) AS BIGINT) AND rs.c = CAST(floor((p.lon - 30.6) / 0.15) AS BIGINT) AND CAST(floor((p.lon - 30.6) / 0.15) AS BIGINT) BETWEEN 0 AND 39) "
-# the best single cut of each group's sorted values: both classes at least 5 values
-_JENKS = """b AS (SELECT nk AS parent, floor(ability * 20) AS value FROM p WHERE ability IS NOT NULL),
-  o AS (SELECT parent, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY parent) AS n, sum(value) OVER w AS s1, sum(value * value) OVER w AS s2, sum(value) OVER (PARTITION BY parent) AS t1, sum(value * value) OVER (PARTITION BY parent) AS t2, max(value) OVER (PARTITION BY parent) - min(value) OVER (PARTITION BY parent) AS spread FROM b WINDOW w AS (PARTITION BY parent ORDER BY value ROWS UNBOUNDED PRECEDING)),
-  cut AS (SELECT parent, arg_min(value, struct_pack(c := (s2 - s1 * s1 / i) + greatest(t2 - s2 - (t1 - s1) * (t1 - s1) / (n - i), 0), i := i)) AS edge, any_value(n) AS n, any_value(spread) AS spread FROM o WHERE i < n GROUP BY parent),
-  fit AS (SELECT cut.*, (SELECT count(*) FROM b WHERE b.parent = cut.parent AND b.value <= edge) AS low FROM cut),
-  jk AS (SELECT parent, CASE WHEN spread > 0 AND n >= 10 AND low >= 5 AND n - low >= 5 THEN 2 ELSE 1 END AS k, edge, n, spread FROM fit) """
-
-# pass 2 with two bands at most and one distance: the cut of each cluster, then clusters of each band
-_TWO = """, b AS (SELECT p.idx, label AS parent, ability AS value, population, ability, x_m, y_m FROM p JOIN lab USING (idx) WHERE label >= 1 AND ability IS NOT NULL),""" + _JENKS[_JENKS.index("\n"):] + """,
-  m AS (SELECT b.*, k, CASE WHEN k = 2 AND value > edge THEN 1 ELSE 0 END AS band FROM b JOIN jk USING (parent)),
-  n2 AS (SELECT a.parent, a.band, a.idx, o.idx AS other FROM m a JOIN m o ON a.parent = o.parent AND a.band = o.band AND (o.x_m - a.x_m) * (o.x_m - a.x_m) + (o.y_m - a.y_m) * (o.y_m - a.y_m) <= 1500.0 * 1500.0),
+
+
+def _breaks_sql(rows: str, most: int) -> str:
+    """jk (parent, k, br, n, spread) of the table jv (parent, value): the cheapest cuts into 2 to ``most`` classes, a layer for each; the most classes of 5 values or more."""
+    layers = ["e1 AS (SELECT parent, value, n, s1, s2, greatest(s2 - s1 * s1 / n, 0) AS t, []::DOUBLE[] AS br, n AS fewest FROM jq)"]
+    for k in range(2, most + 1):
+        layers.append(f"""e{k} AS (SELECT parent, value, n, s1, s2, r.t AS t, r.br AS br, r.fewest AS fewest FROM (
+    SELECT y.parent, y.value, y.n, y.s1, y.s2, arg_min(struct_pack(t := x.t + greatest(y.s2 - x.s2 - (y.s1 - x.s1) * (y.s1 - x.s1) / (y.n - x.n), 0), br := list_append(x.br, x.value), fewest := least(x.fewest, y.n - x.n)),
+      struct_pack(t := x.t + greatest(y.s2 - x.s2 - (y.s1 - x.s1) * (y.s1 - x.s1) / (y.n - x.n), 0), i := x.n)) AS r
+    FROM e{k - 1} x JOIN jq y ON x.parent = y.parent AND x.value < y.value GROUP BY ALL))""")
+    every = " UNION ALL ".join(f"SELECT e{k}.parent, {k} AS k, br FROM e{k} JOIN jh ON jh.parent = e{k}.parent AND e{k}.value = jh.hi WHERE fewest >= 5 AND jh.spread > 0" for k in range(2, most + 1))
+    return f"""jv AS ({rows}),
+  jo AS (SELECT parent, value, row_number() OVER w AS n, sum(value) OVER w AS s1, sum(value * value) OVER w AS s2 FROM jv WINDOW w AS (PARTITION BY parent ORDER BY value ROWS UNBOUNDED PRECEDING)),
+  jq AS (SELECT parent, value, max(n) AS n, arg_max(s1, n) AS s1, arg_max(s2, n) AS s2 FROM jo GROUP BY parent, value),
+  jh AS (SELECT parent, count(*) AS n, max(value) AS hi, max(value) - min(value) AS spread FROM jv GROUP BY parent),
+  {", ".join(layers)}, jf AS ({every}),
+  jk AS (SELECT jh.parent, coalesce(max(jf.k), 1) AS k, coalesce(arg_max(br, jf.k), []::DOUBLE[]) AS br, any_value(n) AS n, any_value(spread) AS spread FROM jh LEFT JOIN jf ON jf.parent = jh.parent GROUP BY jh.parent) """
+
+
+_JENKS = _breaks_sql("SELECT nk AS parent, floor(ability * 20) AS value FROM p WHERE ability IS NOT NULL", 5)
+_METHOD = "CASE WHEN k > 1 THEN CASE WHEN n > 1500 THEN 'ckmeans' ELSE 'fisher-jenks' END ELSE 'single-unit' END"
+_FLAG = "CASE WHEN k > 1 THEN NULL WHEN spread > 0 THEN 'insufficient-points' ELSE 'homogeneous' END"
+_BC = "SELECT parent, CASE WHEN n >= 4 AND g2 IS NOT NULL THEN (g1 * g1 + 1) / (g2 + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))) END AS bc FROM (SELECT parent, count(value)::DOUBLE AS n, CASE WHEN max(value) > min(value) THEN skewness(value) END AS g1, CASE WHEN max(value) > min(value) THEN kurtosis(value) END AS g2 FROM jv GROUP BY parent)"
+
+
+def _pass2_sql(most: int = 5, eps2: float | None = None, guard: bool = False) -> str:
+    """Pass 2 by bands: cl (parent, k, br, eps2), g (members of sub-areas, s null where scattered), sub (a row each)."""
+    cut = f"jk JOIN ({_BC}) bc USING (parent)" if guard else "jk"
+    own = "CASE WHEN bc <= 5.0::DOUBLE / 9 THEN 1 ELSE k END" if guard else "k"
+    flag = f"CASE WHEN bc <= 5.0::DOUBLE / 9 THEN 'unimodal' ELSE {_FLAG} END" if guard else _FLAG
+    method = f"CASE WHEN bc <= 5.0::DOUBLE / 9 THEN 'single-unit' ELSE {_METHOD} END" if guard else _METHOD
+    derived = """kq AS (SELECT a.parent, a.idx, (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m) AS d2, row_number() OVER (PARTITION BY a.parent, a.idx ORDER BY (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m)) AS rank FROM v a JOIN v b ON a.parent = b.parent AND a.idx <> b.idx JOIN ck ON ck.parent = a.parent WHERE ck.k > 1),
+  dq AS (SELECT parent, CASE WHEN count(*) > 4 THEN nullif(quantile_cont(kd, 0.5), 0) END AS eps2 FROM (SELECT parent, idx, sqrt(max(d2)) AS kd FROM kq WHERE rank <= 4 GROUP BY ALL) GROUP BY parent)"""
+    fixed = f"dq AS (SELECT parent, {eps2}::DOUBLE AS eps2 FROM ck WHERE k > 1)"
+    return f""", v AS (SELECT p.idx, label AS parent, population, ability, x_m, y_m, lon, lat FROM p JOIN lab USING (idx) WHERE label >= 1 AND ability IS NOT NULL),
+  {_breaks_sql("SELECT parent, ability AS value FROM v", most)},
+  ck AS (SELECT parent, {own} AS k, {method} AS method, {flag} AS flag, br FROM {cut}),
+  {derived if eps2 is None else fixed},
+  cl AS (SELECT ck.*, dq.eps2 FROM ck LEFT JOIN dq USING (parent)),
+  m AS (SELECT v.*, k, eps2, CASE WHEN k > 1 THEN len(list_filter(br, lambda x: v.ability > x)) ELSE 0 END AS band FROM v JOIN cl USING (parent)),
+  n2 AS (SELECT a.parent, a.band, a.idx, o.idx AS other FROM m a JOIN m o ON a.parent = o.parent AND a.band = o.band AND (o.x_m - a.x_m) * (o.x_m - a.x_m) + (o.y_m - a.y_m) * (o.y_m - a.y_m) <= a.eps2 * a.eps2),
   c2 AS (SELECT parent, band, idx FROM n2 GROUP BY ALL HAVING count(*) >= 4),
-  e2 AS (SELECT n2.* FROM n2 JOIN c2 x ON x.idx = n2.idx JOIN c2 y ON y.idx = n2.other),
-  r2(idx, c) AS (SELECT idx, idx FROM c2 UNION SELECT e2.other, r2.c FROM r2 JOIN e2 ON e2.idx = r2.idx WHERE r2.c < e2.other),
+  e2x AS (SELECT n2.* FROM n2 JOIN c2 x ON x.idx = n2.idx JOIN c2 y ON y.idx = n2.other),
+  r2(idx, c) AS (SELECT idx, idx FROM c2 UNION SELECT e2x.other, r2.c FROM r2 JOIN e2x ON e2x.idx = r2.idx WHERE r2.c < e2x.other),
   q2 AS (SELECT idx, min(c) AS c FROM r2 GROUP BY idx),
   i2 AS (SELECT idx, dense_rank() OVER (PARTITION BY parent, band ORDER BY c) AS s FROM q2 JOIN c2 USING (idx)),
   d2 AS (SELECT n2.idx, min(s) AS s FROM n2 JOIN i2 ON i2.idx = n2.other GROUP BY n2.idx),
-  g AS (SELECT m.*, CASE WHEN k = 1 THEN 1 ELSE s END AS s, min(value) OVER (PARTITION BY parent, band) AS range_min, max(value) OVER (PARTITION BY parent, band) AS range_max FROM m LEFT JOIN d2 USING (idx)) """
+  g AS (SELECT m.*, CASE WHEN k = 1 OR eps2 IS NULL THEN 1 ELSE s END AS s, min(ability) OVER (PARTITION BY parent, band) AS range_min, max(ability) OVER (PARTITION BY parent, band) AS range_max FROM m LEFT JOIN d2 USING (idx)),
+  gm AS (SELECT *, parent || '-b' || band || '-' || CASE WHEN s IS NULL THEN 'scattered' ELSE 's' || s END AS group_id FROM g),
+  sub AS (SELECT parent, group_id, band, s IS NULL AS scattered, range_min, range_max, {_STATS}, count(*) AS point_count FROM gm GROUP BY parent, group_id, band, s, range_min, range_max) """
+
+
+_FIVE = _pass2_sql()
 _AREAS = f", l AS ({LOCATED_SQL}), t AS (SELECT label AS id, unit_idx, count(*) AS n FROM lab JOIN l USING (idx) WHERE label >= 1 GROUP BY ALL), tt AS (SELECT id, sum(n) AS total, coalesce(sum(n) FILTER (unit_idx < 0), 0) AS outside, count(*) FILTER (unit_idx >= 0) AS areas, max(n) FILTER (unit_idx >= 0) AS best FROM t GROUP BY id), w AS (SELECT tt.*, (SELECT min(unit_idx) FROM t WHERE t.id = tt.id AND unit_idx >= 0 AND t.n = tt.best) AS unit FROM tt), b0 AS (SELECT w.id, (SELECT min(idx) FROM lab WHERE label = w.id) AS f, CASE WHEN best IS NULL OR best < outside THEN 'Cluster ' || w.id ELSE n_name || CASE WHEN 2 * best < total AND areas > 1 THEN CASE WHEN areas = 2 THEN ' and 1 more area' ELSE ' and ' || (areas - 1) || ' more areas' END ELSE '' END END AS base FROM w LEFT JOIN nation ON n_nationkey = w.unit) "
 _HEX = "printf('%02x', CAST(floor({a} + {b} * t + 0.5) AS INT))"
 
 ORACLE_SQL = {
-    "subareas_two_bands": f"{_P}{DB_SQL}{_TWO} SELECT parent, parent || '-b' || band || '-' || CASE WHEN s IS NULL THEN 'scattered' ELSE 's' || s END AS group_id, band, s IS NULL AS scattered, range_min, range_max, {_STATS}, count(*) AS point_count FROM g GROUP BY parent, band, s, range_min, range_max",
+    "subareas": f"{_P}{DB_SQL}{_FIVE} SELECT parent, group_id, band, scattered, range_min, range_max, population, mean_ability, missing_pop, point_count FROM sub",
+    "subareas_two_bands": f"{_P}{DB_SQL}{_pass2_sql(2, 1500.0)} SELECT parent, group_id, band, scattered, range_min, range_max, population, mean_ability, missing_pop, point_count FROM sub",
+    "pass2_clusters": f"{_P}{DB_SQL}{_pass2_sql(guard=True)}, hu AS (SELECT label AS parent, count(ability) AS n, count(*) FILTER (ability IS NULL) > 0 AS has_unknown FROM p JOIN lab USING (idx) WHERE label >= 1 GROUP BY label) SELECT hu.parent, CASE WHEN hu.n = 0 THEN 0 ELSE cl.k END AS k, CASE WHEN hu.n = 0 THEN 'none' ELSE cl.method END AS method, CASE WHEN hu.n = 0 THEN 'all-unknown' ELSE cl.flag END AS flag, round(eps2 / 1000, 9) AS eps2_km, has_unknown FROM hu LEFT JOIN cl USING (parent)",
+    "features": f"{_P}{DB_SQL}{_FIVE}, l AS ({LOCATED_SQL}), every AS (SELECT group_id, 'subarea' AS kind, parent, idx FROM gm UNION ALL SELECT CASE WHEN label >= 1 THEN label || '-unknown' ELSE 'last-mile' END, CASE WHEN label >= 1 THEN 'unknown' ELSE 'last_mile' END, CASE WHEN label >= 1 THEN label END, idx FROM p JOIN lab USING (idx) WHERE label = -1 OR ability IS NULL), un AS (SELECT group_id, string_agg(unit_idx::VARCHAR, ',' ORDER BY unit_idx) AS ids, count(*) AS n FROM (SELECT DISTINCT group_id, unit_idx FROM every JOIN l USING (idx) WHERE unit_idx >= 0) GROUP BY group_id) SELECT group_id AS subarea_id, kind, parent AS parent_cluster_id, CAST(floor(coalesce(sum(population), 0) + 0.5) AS BIGINT) AS population, count(*) AS point_count, coalesce(any_value(un.ids), '') AS admin_units, coalesce(any_value(un.n), 0) > 1 AS straddle, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM every JOIN p USING (idx) LEFT JOIN un USING (group_id) GROUP BY group_id, kind, parent",
+    "quintile_class": f"{_P}{DB_SQL}{_FIVE}, cut AS (SELECT quantile_disc(mean_ability, 0.2) AS c FROM sub) SELECT group_id AS subarea_id, 'lowest fifth across the map' AS export_class, true AS export_comparable_across_map FROM sub, cut WHERE mean_ability <= c",
+    "range_class": f"{_P}{DB_SQL}{_FIVE} SELECT group_id AS subarea_id, 'value 0.5 to 1.5' AS export_class, true AS export_comparable_across_map FROM sub WHERE mean_ability BETWEEN 0.5 AND 1.5",
+    "band_class": f"{_P}{DB_SQL}{_FIVE} SELECT group_id AS subarea_id, 'lowest band within its own cluster' AS export_class, false AS export_comparable_across_map FROM sub JOIN cl USING (parent) WHERE cl.k > 1 AND band = 0",
+    "run_summary": f"{_P}{DB_SQL}{_FIVE} SELECT 0 AS ord, 'points' AS label, count(*) AS value FROM lab UNION ALL SELECT 1, 'clusters', count(DISTINCT label) FROM lab WHERE label >= 1 UNION ALL SELECT 2, 'last-mile (unclustered) points', count(*) FROM lab WHERE label = -1 UNION ALL SELECT 3, 'filtered points', 0 UNION ALL SELECT 4, 'sub-areas', count(*) FROM sub WHERE NOT scattered UNION ALL SELECT 5, 'scattered groups', count(*) FROM sub WHERE scattered UNION ALL SELECT 6, 'unknown-value points', count(*) FROM p JOIN lab USING (idx) WHERE label >= 1 AND ability IS NULL",
+    "band_legend": f"{_P}{DB_SQL}{_FIVE} SELECT DISTINCT sub.parent, band, CASE WHEN k <= 1 THEN 'whole area' ELSE CASE WHEN band = 0 THEN 'lowest ' WHEN band = k - 1 THEN 'highest ' ELSE ['first', 'second', 'third', 'fourth'][band + 1] || '-lowest ' END || ['half', 'third', 'quarter', 'fifth'][k - 1] END AS label, range_min, range_max FROM sub JOIN cl USING (parent)",
+    "subarea_labels": f"{_P}{DB_SQL}{_FIVE} SELECT group_id, CASE WHEN scattered THEN 'scattered points — ' ELSE '' END || CASE WHEN k <= 1 THEN 'whole area' ELSE CASE WHEN band = 0 THEN 'lowest ' WHEN band = k - 1 THEN 'highest ' ELSE ['first', 'second', 'third', 'fourth'][band + 1] || '-lowest ' END || ['half', 'third', 'quarter', 'fifth'][k - 1] END || ' of this area' AS label, '#' || {_HEX.format(a=234, b=22 - 234)} || {_HEX.format(a=241, b=74 - 241)} || {_HEX.format(a=245, b=104 - 245)} AS fill FROM (SELECT sub.*, cl.k, band::DOUBLE / greatest(1, cl.k - 1) AS t FROM sub JOIN cl USING (parent))",
+    "subarea_config": f"{_P}{DB_SQL}{_FIVE}{_AREAS}, nm AS (SELECT id, base || CASE WHEN row_number() OVER (PARTITION BY base ORDER BY f) > 1 THEN ' ' || row_number() OVER (PARTITION BY base ORDER BY f) ELSE '' END AS name FROM b0) SELECT group_id AS subarea_id, nm.name AS cluster_name, 'dbscan' AS cfg_algorithm, 2.0::DOUBLE AS cfg_distance_km, 'user' AS cfg_distance_source, 'bands' AS cfg_subarea_method, 5 AS cfg_bands_max, cl.k AS cfg_band_count, cl.method AS cfg_banding_method, 4 AS cfg_min2, round(eps2 / 1000, 9) AS cfg_eps2_km FROM sub JOIN cl USING (parent) JOIN nm ON nm.id = sub.parent",
+    "composition_text": f"{_P}{DB_SQL} SELECT label, string_agg(source || ' ' || n, ', ' ORDER BY n DESC, source) AS composition FROM (SELECT label, source, count(*) AS n FROM lab JOIN p USING (idx) GROUP BY ALL) GROUP BY label",
+    "last_mile_layers": f"{_P}{DB_SQL} SELECT source, count(*) AS n FROM lab JOIN p USING (idx) WHERE label = -1 GROUP BY source",
+    "absolute_legend": f"{_P} s AS (SELECT round(avg(ability), 3) AS a FROM p GROUP BY nk), r AS (SELECT min(a) AS lo, max(a) AS hi FROM s), t AS (SELECT unnest(range(5)) AS stop, lo, hi FROM r) SELECT stop, round(lo + (hi - lo) * stop / 4, 9) AS value, '#' || {_HEX.format(a=234, b=22 - 234)} || {_HEX.format(a=241, b=74 - 241)} || {_HEX.format(a=245, b=104 - 245)} AS colour FROM (SELECT *, (lo + (hi - lo) * stop / 4 - lo) / (hi - lo) AS t FROM t)",
+    "display_names": f"SELECT 'Cluster ' || k || CASE WHEN n_nationkey < 0 THEN ' · outside the areas' ELSE ' · ' || n_name END AS cluster_name, k || '@' || CASE WHEN n_nationkey < 0 THEN 'outside' ELSE n_nationkey::VARCHAR END AS piece FROM (SELECT unnest([1, 2]) AS k), (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT -1, '')",
+    "cluster_points": f"WITH RECURSIVE p0 AS ({POINTS_SQL}), fr AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM p0), p AS (SELECT p0.* EXCLUDE (x_m, y_m), (lon - lon0) * (pi() / 180) * 6371000.0 * cos(lat0 * (pi() / 180)) AS x_m, (lat - lat0) * (pi() / 180) * 6371000.0 AS y_m FROM p0, fr), {DB_SQL} SELECT idx, label FROM lab",
+    "noise_share": f"{_P}{DB_SQL} SELECT round(max(n) FILTER (label >= 1) / sum(n), 9) AS largest, round(coalesce(max(n) FILTER (label = -1), 0) / sum(n), 9) AS noise FROM (SELECT label, count(*) AS n FROM lab GROUP BY label)",
+    "core_points_floors": f"{_P}{NB_SQL} z AS (SELECT 1) SELECT idx FROM nb GROUP BY idx HAVING count(*) >= 4 AND sum(coalesce(pop, 0)) >= 30000",
     "unknown_groups": f"{_P}{DB_SQL}, u AS (SELECT p.*, label FROM p JOIN lab USING (idx)) SELECT label || '-unknown' AS group_id, 'unknown' AS kind, label AS parent, count(*) AS point_count, {_STATS} FROM u WHERE label >= 1 AND ability IS NULL GROUP BY label UNION ALL SELECT 'last-mile', 'last_mile', NULL, count(*), {_STATS} FROM u WHERE label = -1 HAVING count(*) > 0",
     "cluster_names": f"{_P}{DB_SQL}{_AREAS} SELECT id, base || CASE WHEN row_number() OVER (PARTITION BY base ORDER BY f) > 1 THEN ' ' || row_number() OVER (PARTITION BY base ORDER BY f) ELSE '' END AS name FROM b0",
     "split_pieces": f"{_P}{DB_SQL}, l AS ({LOCATED_SQL}) SELECT '1@' || coalesce(n_nationkey::VARCHAR, 'outside') AS piece_key, n_name AS name, count(*) AS n FROM lab JOIN l USING (idx) LEFT JOIN nation ON n_nationkey = unit_idx WHERE label = 1 GROUP BY ALL",
@@ -365,8 +480,8 @@ ORACLE_SQL = {
     "composition": f"{_P}{DB_SQL} SELECT label, " + ", ".join(f"count(*) FILTER (source = '{x}') AS n_{x.lower()}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM lab JOIN p USING (idx) GROUP BY label",
     "bimodality": f"{_P} m AS (SELECT nk AS parent, count(ability)::DOUBLE AS n, skewness(ability) AS g1, kurtosis(ability) AS g2 FROM p GROUP BY nk) SELECT parent, CASE WHEN n >= 4 THEN round((g1 * g1 + 1) / (g2 + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))), 7) END AS bc FROM m WHERE n > 0",
     "weighted_stats": f"{_P} z AS (SELECT 1) SELECT nk, {_STATS} FROM p GROUP BY nk",
-    "jenks_breaks": f"{_P}{_JENKS} SELECT parent, k, CASE WHEN k = 2 THEN format('{{:.1f}}', edge) ELSE '' END AS breaks, CASE WHEN k = 2 THEN CASE WHEN n > 1500 THEN 'ckmeans' ELSE 'fisher-jenks' END ELSE 'single-unit' END AS method, CASE WHEN k = 2 THEN NULL WHEN spread > 0 THEN 'insufficient-points' ELSE 'homogeneous' END AS flag FROM jk",
-    "band_ranges": f"{_P}{_JENKS}, z AS (SELECT parent, CASE WHEN k = 2 AND value > edge THEN 1 ELSE 0 END AS band, value, k FROM b JOIN jk USING (parent)) SELECT parent, band, min(value) AS lo, max(value) AS hi, count(*) AS n, CASE WHEN any_value(k) = 1 THEN 'whole area' WHEN band = 0 THEN 'lowest half' ELSE 'highest half' END AS band_label FROM z GROUP BY parent, band",
+    "jenks_breaks": f"{_P}{_JENKS} SELECT parent, k, list_aggregate(list_transform(br, lambda x: format('{{:.1f}}', x)), 'string_agg', ',') AS breaks, {_METHOD} AS method, {_FLAG} AS flag FROM jk",
+    "band_ranges": f"{_P}{_JENKS}, z AS (SELECT parent, len(list_filter(br, lambda x: value > x)) AS band, value, k FROM jv JOIN jk USING (parent)) SELECT parent, band, min(value) AS lo, max(value) AS hi, count(*) AS n, CASE WHEN any_value(k) = 1 THEN 'whole area' ELSE CASE WHEN band = 0 THEN 'lowest ' WHEN band = any_value(k) - 1 THEN 'highest ' ELSE ['first', 'second', 'third', 'fourth'][band + 1] || '-lowest ' END || ['half', 'third', 'quarter', 'fifth'][any_value(k) - 1] END AS band_label FROM z GROUP BY parent, band",
     "reachability_edges": f"{_P}{NB_SQL} n2 AS (SELECT nb.idx, nb.other, (b.x_m - a.x_m) * (b.x_m - a.x_m) + (b.y_m - a.y_m) * (b.y_m - a.y_m) AS d2, floor(b.x_m / 2000) AS cx, floor(b.y_m / 2000) AS cy FROM nb JOIN p a ON a.idx = nb.idx JOIN p b ON b.idx = nb.other WHERE nb.idx <> nb.other), rk AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d2, cx, cy, other) AS rank FROM n2), core AS (SELECT idx, coalesce(min(sqrt(d2)) FILTER (rank >= 4), max(sqrt(d2))) AS core FROM rk GROUP BY idx), e AS (SELECT DISTINCT least(idx, other) AS a, greatest(idx, other) AS b, sqrt(d2) AS d FROM rk WHERE rank <= 16) SELECT e.a, e.b, round(greatest(x.core, y.core, d, 1.0), 6) AS w FROM e JOIN core x ON x.idx = e.a JOIN core y ON y.idx = e.b",
     "session_log_counts": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
 }
