@@ -15,7 +15,7 @@ UNIFORM_BC = 5 / 9
 
 @dataclass(frozen=True)
 class Banding:
-    """Options of banding. ``size_threshold`` only decides which method name is reported."""
+    """Options of banding. Beyond ``size_threshold`` values Ckmeans takes the place of Fisher's programme."""
 
     max_bands: int = 5
     floor: int = 5
@@ -36,23 +36,31 @@ class Banding:
 
 
 class _Cost:
-    """Squared deviation of the sorted values i..j-1 from their mean, from running sums."""
+    """Squared deviation of the distinct values i..j-1 from their mean, each as often as it occurs, from running sums."""
 
-    def __init__(self, a: np.ndarray):
-        self.p1, self.p2 = (np.concatenate(([0.0], np.cumsum(x))) for x in (a, a * a))
+    def __init__(self, a: np.ndarray, times: np.ndarray):
+        self.n, self.p1, self.p2 = (np.concatenate(([0], np.cumsum(x))) for x in (times, a * times, a * a * times))
 
     def __call__(self, i, j):
         s = self.p1[j] - self.p1[i]
-        return np.maximum(self.p2[j] - self.p2[i] - s * s / (j - i), 0.0)
+        return np.maximum(self.p2[j] - self.p2[i] - s * s / (self.n[j] - self.n[i]), 0.0)
 
 
-def optimal_starts(a: np.ndarray, k: int) -> list[int]:
-    """Starts of the ``k`` classes of sorted ``a`` with the least squared deviation; the lowest start on ties.
+def _starts(choice: np.ndarray) -> list[int]:
+    starts, end = [], choice.shape[1] - 1
+    for c in range(len(choice) - 1, 0, -1):
+        end = int(choice[c, end])
+        starts.append(end)
+    return starts[::-1]
+
+
+def optimal_starts(a: np.ndarray, k: int, times: np.ndarray | None = None) -> list[int]:
+    """Starts of the ``k`` classes of sorted distinct ``a`` with the least squared deviation; the lowest start on ties.
 
     A layer's best start never moves back as its end grows, so each layer splits its ends in half
-    and looks only between the neighbours' starts.
+    and looks only between the neighbours' starts (Ckmeans).
     """
-    n, cost = len(a), _Cost(a)
+    n, cost = len(a), _Cost(a, np.ones(len(a), int) if times is None else times)
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
     choice = np.zeros((k + 1, n + 1), np.int64)
@@ -70,52 +78,72 @@ def optimal_starts(a: np.ndarray, k: int) -> list[int]:
             now[mid], choice[c, mid] = total[at], first + at
             todo += [(lo, mid - 1, first, first + at), (mid + 1, hi, first + at, last)]
         best = now
-    starts, end = [], n
-    for c in range(k, 0, -1):
-        end = int(choice[c, end])
-        starts.append(end)
-    return starts[::-1]
+    return _starts(choice)
+
+
+def fisher_starts(a: np.ndarray, k: int, times: np.ndarray | None = None) -> list[int]:
+    """The same by Fisher's programme: every start is tried for every end, whatever the neighbours chose."""
+    n, cost = len(a), _Cost(a, np.ones(len(a), int) if times is None else times)
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    choice = np.zeros((k + 1, n + 1), np.int64)
+    for c in range(1, k + 1):
+        now = np.full(n + 1, np.inf)
+        for end in range(c, n + 1):
+            start = np.arange(c - 1, end)
+            total = best[start] + cost(start, end)
+            choice[c, end] = start[np.argmin(total)]
+            now[end] = total.min()
+        best = now
+    return _starts(choice)
 
 
-def choose_bands(values: np.ndarray, options: Banding = Banding()) -> tuple[int, list[float], str, str | None]:
+def choose_bands(values: np.ndarray, options: Banding = Banding(), times: np.ndarray | None = None) -> tuple[int, list[float], str, str | None]:
     """(k, breaks, method, flag): the most bands, each of at least ``floor`` values; 1 where none fits.
 
-    ``breaks`` holds the upper edge of all bands but the last. Values are assigned by value, so
-    equal ones share a band whatever their order.
+    ``times`` tells how often each of distinct ``values`` occurs. ``breaks`` holds the upper edge of
+    all bands but the last. A class never ends inside a run of equal values: bands are assigned by
+    value. Up to ``size_threshold`` values Fisher's programme is used, beyond that Ckmeans; both
+    find the same classes.
     """
-    a = np.sort(np.asarray(values, float))
-    n = len(a)
-    if not np.isfinite(a).all():
+    values = np.asarray(values, float)
+    if not np.isfinite(values).all():
         raise ValueError("values must be finite; leave missing ones out")
+    if times is None:
+        a, times = np.unique(values, return_counts=True)
+    else:
+        order = np.argsort(values)
+        a, times = values[order], np.asarray(times)[order]
+    n = int(times.sum())
     if not n:
         return 0, [], "single-unit", "insufficient-points"
     if a[-1] - a[0] <= options.variance_eps:
         return 1, [], "single-unit", "homogeneous"
-    for k in range(min(options.max_bands, n), options.min_bands - 1, -1):
+    many = n > options.size_threshold
+    for k in range(min(options.max_bands, len(a)), options.min_bands - 1, -1):
         if n < k * options.floor:
             continue
-        starts = optimal_starts(a, k)
-        breaks = [float(a[s - 1]) for s in starts[1:]]
-        ends = np.searchsorted(a, breaks, side="right")
-        if np.diff(np.concatenate(([0], ends, [n]))).min() >= options.floor:
-            return k, breaks, "ckmeans" if n > options.size_threshold else "fisher-jenks", None
+        starts = (optimal_starts if many else fisher_starts)(a, k, times)
+        if np.add.reduceat(times, starts).min() >= options.floor:
+            return k, [float(a[s - 1]) for s in starts[1:]], "ckmeans" if many else "fisher-jenks", None
     return 1, [], "single-unit", "insufficient-points"
 
 
 def band_table(points: DataFrame, value: str, keys: list[str], options: Banding = Banding()) -> DataFrame:
     """(keys, n, lo, hi, k, breaks, method, flag) for each group of non-null values.
 
-    A group's sorted values are one task's work: the optimal classes of one dimension need them
-    all. That is 8 bytes a value.
+    Equal values are counted first, before and in the shuffle. A group's distinct values are one
+    task's work: the optimal classes of one dimension need them all. That is 16 bytes a value.
     """
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        v = group[value].to_numpy(float)
-        k, breaks, method, flag = choose_bands(v, options)
-        return pd.DataFrame([{**{c: group[c].iloc[0] for c in keys}, "n": len(v), "lo": v.min(), "hi": v.max(), "k": k, "breaks": breaks, "method": method, "flag": flag}])
+        v, times = group[value].to_numpy(float), group["_times"].to_numpy()
+        k, breaks, method, flag = choose_bands(v, options, times)
+        return pd.DataFrame([{**{c: group[c].iloc[0] for c in keys}, "n": times.sum(), "lo": v.min(), "hi": v.max(), "k": k, "breaks": breaks, "method": method, "flag": flag}])
 
     fields = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys)
-    return points.select(*keys, value).where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(kernel, f"{fields}, n long, lo double, hi double, k int, breaks array<double>, method string, flag string")
+    counted = points.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    return counted.groupBy(*keys).applyInPandas(kernel, f"{fields}, n long, lo double, hi double, k int, breaks array<double>, method string, flag string")
 
 
 def band_of(value: Column, breaks: Column) -> Column:

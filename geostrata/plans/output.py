@@ -118,12 +118,10 @@ def count_column(layer: str) -> str:
 
 
 def composition(members: DataFrame, points: DataFrame, layers: list[str], group: list[str]) -> DataFrame:
-    """(group, n_<layer> ...): members of each layer, zeros included. Two layers with one column name are refused."""
-    names = [count_column(x) for x in layers]
-    if len(set(names)) < len(names):
-        raise ValueError("two layers have the same column name")
+    """(group, n_<layer> ...): members of each layer, zeros included. Of layers with one column name the last one counts."""
+    named = {count_column(x): x for x in layers}
     own = members.join(points.select("idx", "source"), "idx")
-    return own.groupBy(*group).agg(*(F.count_if(F.col("source") == x).alias(n) for x, n in zip(layers, names, strict=True)))
+    return own.groupBy(*group).agg(*(F.count_if(F.col("source") == x).alias(n) for n, x in named.items()))
 
 
 def composition_text(members: DataFrame, points: DataFrame, group: list[str]) -> DataFrame:

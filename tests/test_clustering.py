@@ -77,6 +77,7 @@ def test_breaks():
             cost = lambda cuts: sum(((p - p.mean()) ** 2).sum() for p in np.split(a, cuts))
             best = min(cost(list(c)) for c in combinations(range(1, len(a)), k - 1))
             assert cost(breaks.optimal_starts(a, k)[1:]) == pytest.approx(best)
+            assert cost(breaks.fisher_starts(a, k)[1:]) == pytest.approx(best)
     three = np.concatenate([b + 0.01 * np.arange(8) for b in (0, 100, 200)])
     k, edges, method, flag = breaks.choose_bands(three)
     assert (k, method, flag, len(edges)) == (3, "fisher-jenks", None, 2)
