@@ -9,8 +9,9 @@ projection in which they collide.
 
 The ends hold about ``LIST`` vectors each, whatever the number of vectors: the more there are, the
 farther out the ends begin and the more directions there are, so the rows that are sorted and the
-pairs that are counted grow in proportion. Ids and values are sorted and counted first; vectors
-are fetched only for those that have a pair to verify.
+pairs that are counted grow in proportion. Ids and values are sorted and counted first, with the
+vectors rounded to bytes: a pair whose bytes rule the cosine out, whatever was rounded off, needs
+no verification. Vectors are fetched only for those that have a pair to verify.
 
 Equal vectors are one class. A list of more than ``block`` classes is cut into parts and each pair
 of parts is a group of its own. Groups return sums per vector and the edges of a spanning forest,
@@ -96,14 +97,14 @@ def _strips(x: np.ndarray, dim: int, directions: int, t: float):
 
 
 def _by_length(vec: pa.Array):
-    """(dim, row numbers, unit vectors) of a batch of packed vectors, a thousand of one length at a time."""
+    """(dim, row numbers, unit vectors in doubles) of a batch of packed vectors, a thousand of one length at a time."""
     raw = [np.frombuffer(x, "<f8") for x in vec.to_pylist()]
     by: dict[int, list[int]] = {}
     for i, x in enumerate(raw):
         by.setdefault(len(x), []).append(i)
     for dim, rows in by.items():
         for a in range(0, len(rows), 1000):
-            yield dim, np.array(rows[a : a + 1000]), np.array([raw[i] for i in rows[a : a + 1000]], np.float32)
+            yield dim, np.array(rows[a : a + 1000]), np.array([raw[i] for i in rows[a : a + 1000]])
 
 
 def _crowded(classes: DataFrame, directions: int, tail: float, block: int) -> DataFrame:
@@ -113,7 +114,7 @@ def _crowded(classes: DataFrame, directions: int, tail: float, block: int) -> Da
     def kernel(batches):
         for batch in batches:
             for dim, _, x in _by_length(batch.column("vec")):
-                for _, lists, _ in _strips(x, dim, directions, t):
+                for _, lists, _ in _strips(x.astype(np.float32), dim, directions, t):
                     of, n = np.unique(lists, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(of + (dim << 32)), pa.array(n)], ["list", "n"])
 
@@ -122,23 +123,43 @@ def _crowded(classes: DataFrame, directions: int, tail: float, block: int) -> Da
 
 
 def _places(classes: DataFrame, directions: int, tail: float) -> DataFrame:
-    """A row for each place at an end: list (vector length, direction and end), value, rep, n, own (all its lists), at (its values there)."""
+    """A row for each place at an end: list (vector length, direction and end), value, rep, n, own (all its lists), at (its values there), small (the vector in bytes)."""
     t = tail_start(tail)
 
     def kernel(batches):
         for batch in batches:
             rep, size = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
             for dim, rows, x in _by_length(batch.column("vec")):
-                row, lists, value = (np.concatenate(c) for c in zip(*_strips(x, dim, directions, t), strict=True))
+                row, lists, value = (np.concatenate(c) for c in zip(*_strips(x.astype(np.float32), dim, directions, t), strict=True))
+                small = pa.array(_small(x), pa.binary())
                 order = np.lexsort((lists, row))
                 row, lists, value = row[order], lists[order], value[order]
                 cuts = np.searchsorted(row, np.arange(len(rows) + 1))
                 own = pa.array([lists[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 at = pa.array([value[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(lists + (dim << 32)), pa.array(value.astype(np.float32)), pa.array(rep[rows][row]), pa.array(size[rows][row]), own.take(take), at.take(take)], ["list", "value", "rep", "n", "own", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists + (dim << 32)), pa.array(value.astype(np.float32)), pa.array(rep[rows][row]), pa.array(size[rows][row]), own.take(take), at.take(take), small.take(take)], ["list", "value", "rep", "n", "own", "at", "small"])
 
-    return mapped(classes.select("rep", "n", "vec"), kernel, "list long, value float, rep long, n long, own binary, at binary")
+    return mapped(classes.select("rep", "n", "vec"), kernel, "list long, value float, rep long, n long, own binary, at binary, small binary")
+
+
+def _small(x: np.ndarray) -> list[bytes]:
+    """Each unit vector as one byte a component, with its scale and how far that is from the vector."""
+    scale = (np.abs(x).max(1) / 127).astype(np.float32)
+    q = np.rint(x / scale[:, None]).astype(np.int8)
+    off = np.linalg.norm(x - q * scale[:, None].astype(float), axis=1)
+    head = np.column_stack([scale, (off * (1 + 1e-5) + 1e-7).astype(np.float32)])
+    return [h.tobytes() + r.tobytes() for h, r in zip(head, q, strict=True)]
+
+
+def _possible(small: list[bytes], cosine: float) -> np.ndarray:
+    """Which pairs of vectors can have that cosine: their bytes' product, and the most that rounding can have taken from it."""
+    raw = np.frombuffer(b"".join(small), np.uint8).reshape(len(small), -1)
+    head = raw[:, :8].copy().view(np.float32).astype(float)
+    q = raw[:, 8:].view(np.int8).astype(np.float32)
+    off = head[:, 1]
+    error = off[:, None] + off[None, :] + 3 * off[:, None] * off[None, :]
+    return (q @ q.T) * head[:, :1] * head[None, :, 0] >= cosine - error - 1e-5
 
 
 def _windows(value: np.ndarray, half: float, step: int):
@@ -154,8 +175,11 @@ def _windows(value: np.ndarray, half: float, step: int):
         first = last
 
 
-def _passing(here: int, value: np.ndarray, own: list[bytes], at: list[bytes], cross: np.ndarray | None, count: int, half: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list's rows, sorted by value, that collide ``count`` times or more, and in list ``here`` first."""
+def _passing(here: int, value: np.ndarray, own: list[bytes], at: list[bytes], cross: np.ndarray | None, count: int, half: float, possible: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list's rows, sorted by value, that collide ``count`` times or more, and in list ``here`` first.
+
+    Pairs that are not ``possible`` are left out before their collisions are counted one by one.
+    """
     joined, values = np.frombuffer(b"".join(own), "<i4"), np.frombuffer(b"".join(at), np.float16).astype(np.float32)
     row = np.repeat(np.arange(len(own)), [len(x) // 4 for x in own])
     lists, spot, counts = np.unique(joined, return_inverse=True, return_counts=True)
@@ -165,11 +189,13 @@ def _passing(here: int, value: np.ndarray, own: list[bytes], at: list[bytes], cr
     lists, row, spot, values = lists[shared], row[good], place[spot[good]], values[good]
     m = np.zeros((len(own), len(lists)), np.float32)
     m[row, spot] = 1
-    common = m @ m.T  # no fewer than collisions
+    good = m @ m.T >= count  # common lists: no fewer than collisions
+    if possible is not None:
+        good &= possible
     m[row, spot] = values
     keep_a, keep_b = [], []
     for a, b in _windows(value, half, max(1, 1_000_000 // max(1, len(lists)))):
-        ok = common[a, b] >= count
+        ok = good[a, b]
         if cross is not None:
             ok &= cross[a] != cross[b]
         a, b = a[ok], b[ok]
@@ -212,8 +238,8 @@ def _dealt(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(*keys, "value", "rep", "n", "part", "own", "at", *more).repartition(n, *keys).sortWithinPartitions(*keys, "value", "rep")
 
 
-def _groups(batches, count: int, half: float):
-    """(table, first row, end, pairs) of each group with pairs that pass the count."""
+def _groups(batches, count: int, half: float, cosine: float | None = None):
+    """(table, first row, end, pairs) of each group with pairs that pass the count; with ``cosine``, of those that can have it."""
     keys = ["list", "i", "j"]
     for t in whole_groups(batches, keys, 4_000):
         columns = [t[k].to_numpy() for k in keys]
@@ -225,7 +251,7 @@ def _groups(batches, count: int, half: float):
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if y - x > 1:
                 cross = part[x:y] if columns[1][x] != columns[2][x] else None
-                a, b = _passing(int(columns[0][x]) & 0xFFFFFFFF, value[x:y], own[x:y], at[x:y], cross, count, half)
+                a, b = _passing(int(columns[0][x]) & 0xFFFFFFFF, value[x:y], own[x:y], at[x:y], cross, count, half, None if cosine is None else _possible(t["small"].slice(x, y - x).to_pylist(), cosine))
                 if len(a):
                     yield t, x, y, a, b
 
@@ -235,11 +261,11 @@ def _links(classes: DataFrame, cosine: float, directions: int, tail: float, coun
     places = _places(classes, directions, tail).join(_crowded(classes, directions, tail, block), "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = places.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
-    dealt = _dealt(own)
+    dealt = _dealt(own, "small")
 
     def counted(batches):
-        for t, x, y, a, b in _groups(batches, count, half):
-            yield from t.slice(x, y - x).take(pa.array(np.union1d(a, b))).to_batches()
+        for t, x, y, a, b in _groups(batches, count, half, cosine):
+            yield from t.slice(x, y - x).take(pa.array(np.union1d(a, b))).drop_columns("small").to_batches()
 
     def verified(batches):
         for t, x, y, a, b in _groups(batches, count, half):
@@ -250,7 +276,7 @@ def _links(classes: DataFrame, cosine: float, directions: int, tail: float, coun
                 root, some = rep[_forest(m, a, b)], np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["rep", "links", "root"])
 
-    open_ = checkpoint(mapped(dealt, counted, dealt.schema))
+    open_ = checkpoint(mapped(dealt, counted, dealt.drop("small").schema))
     return mapped(_dealt(open_.join(classes.select("rep", "vec"), "rep"), "vec"), verified, "rep long, links long, root long")
 
 
