@@ -29,7 +29,7 @@ from geostrata.runtime import checkpoint
 SHINGLE, THRESHOLD = 5, 80
 SYMBOLS, ERRORS = 64, 1
 #: Classes of a bucket, and documents of a candidate component, that one task compares at a time.
-BLOCK, PART = 2_000, 1_000
+BLOCK, PART = 1_000, 300
 #: Shingles of all documents of such a part.
 PART_SHINGLES = 1_000_000
 #: Documents whose ids are broadcast to pick their texts; more are joined by a shuffle.

@@ -37,7 +37,7 @@ LIST, ROWS, LEAST_TAIL = 48, 18, 1e-5
 HALF_WINDOW = 0.8
 RECALL, COSINE = 0.99, 0.9
 #: Classes of a list that one task compares with each other at a time, and directions that are projected on at a time.
-BLOCK, STRIP = 1_024, 2_048
+BLOCK, STRIP = 400, 2_048
 
 
 def _upper(z: float) -> float:
