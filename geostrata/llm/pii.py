@@ -22,11 +22,12 @@ CONTEXT = 80
 SUPPORT, DISCLOSE, REMOVE = 3, 0.8, 0.95
 
 # The patterns of the kinds. Possessive repeats match the same and cannot run out of stack. A match that
-# starts inside a run of its first class can only begin there right after the match before (\G).
+# starts inside a run of its first class can only begin there right after the match before (\G). Runs of fewer
+# digits than a card has are no cards and are passed over at once.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # A cheap test that holds for every text with a match.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Spans that an array grows by at a time.
+CHUNK = 300
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -17,31 +19,44 @@ def spans(text: Column, pattern: str, width: int, whole: bool = False) -> Column
 
     ``start`` and ``end`` count code points from 0. ``before`` and ``after`` hold up to ``width``
     code points between a match and the next one on that side, or with ``whole`` of the text there,
-    other matches included. The text's pieces between matches
-    and the matches themselves, each measured, give the places.
+    other matches included. The text's pieces between matches and the matches themselves, each
+    measured, give the places. The state of an aggregate is copied at every step, so it holds no
+    more than ``CHUNK`` spans: a text with very many matches takes time in proportion to them.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none_yet = F.array().cast(SPAN)
+    none_at_all = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, i: Column) -> Column:
-        piece, value = F.element_at(acc["p"], i), F.element_at(acc["m"], i)
-        start = acc["at"] + F.length(piece)
-        before = F.right(F.concat(acc["tail"], piece) if whole else piece, F.lit(width))
-        tail = F.right(F.concat(before, value), F.lit(width)) if whole else acc["tail"]
-        span = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"), before.alias("before"), F.left(F.element_at(acc["p"], i + 1), F.lit(width)).alias("after"))
-        return F.struct((start + F.length(value)).cast("int").alias("at"), acc["p"].alias("p"), acc["m"].alias("m"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["piece"])
+        before = F.right(F.concat(acc["tail"], x["piece"]) if whole else x["piece"], F.lit(width))
+        tail = F.right(F.concat(before, x["value"]), F.lit(width)) if whole else acc["tail"]
+        end = start + F.length(x["value"])
+        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value"), before.alias("before"), F.left(x["next"], F.lit(width)).alias("after"))
+        return F.struct(end.cast("int").alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    # the pieces and matches ride along in the state: as free variables they would be matched anew at every step
-    zero = F.struct(F.lit(0).alias("at"), pieces.alias("p"), found.alias("m"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
-    n = F.size(found)
+    def ahead(acc: Column, part: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none_yet.alias("out"))
+        return F.aggregate(part, zero, step, lambda a: F.struct(a["at"].alias("at"), a["tail"].alias("tail"), F.concat(acc["all"], F.array(a["out"])).alias("all")))
 
-    def back(acc: Column, s: Column) -> Column:
+    def step_back(acc: Column, s: Column) -> Column:
         after = F.left(F.concat(s["after"], acc["head"]), F.lit(width))
         return F.struct(F.left(F.concat(s["value"], after), F.lit(width)).alias("head"), F.concat(acc["out"], F.array(s.withField("after", after))).alias("out"))
 
-    every = F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["out"])
-    if whole:
-        every = F.aggregate(F.reverse(every), F.struct(F.lit("").alias("head"), F.array().cast(SPAN).alias("out")), back, lambda acc: F.reverse(acc["out"]))
-    return F.when(n > 0, every).otherwise(F.array().cast(SPAN))
+    def back(acc: Column, part: Column) -> Column:
+        zero = F.struct(acc["head"].alias("head"), none_yet.alias("out"))
+        return F.aggregate(F.reverse(part), zero, step_back, lambda a: F.struct(a["head"].alias("head"), F.concat(acc["all"], F.array(a["out"])).alias("all")))
+
+    def places(z: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda c: F.slice(z, c * CHUNK + 1, F.lit(CHUNK)))
+        every = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none_at_all.alias("all")), ahead, lambda a: a["all"])
+        if not whole:
+            return F.flatten(every)
+        return F.aggregate(F.reverse(every), F.struct(F.lit("").alias("head"), none_at_all.alias("all")), back, lambda a: F.reverse(F.flatten(a["all"])))
+
+    each = F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("piece"), found.alias("value"), F.slice(pieces, 2, F.size(pieces)).alias("next"))
+    # a variable of its own, or the text would be matched anew for every chunk
+    return F.flatten(F.transform(F.array(each), lambda z: F.when(F.size(z) > 0, places(z)).otherwise(none_yet)))
 
 
 def luhn(digits: Column) -> Column:
