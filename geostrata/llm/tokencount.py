@@ -62,19 +62,40 @@ class LongestMatch:
                         self.fail[v], self.popped[v] = self.edges[z][b], pops
                 queue.append(v)
 
-    def count(self, word: bytes) -> int:
-        """Greedy longest-match tokens of ``word``."""
-        edges, fail, popped = self.edges, self.fail, self.popped
-        node = total = 0
-        for b in word:
-            while (nxt := edges[node].get(b)) is None:
-                total += popped[node]
-                node = fail[node]
-            node = nxt
-        while node:
-            total += popped[node]
-            node = fail[node]
-        return total
+        size = sum(map(len, self.edges))
+        at = np.fromiter((u * 256 + b for u, own in enumerate(self.edges) for b in own), np.int64, size)
+        to = np.fromiter((v for own in self.edges for v in own.values()), np.int32, size)
+        order = np.argsort(at)
+        self.at, self.to = at[order], to[order]
+        self.fail, self.popped = np.array(self.fail, np.int32), np.array(self.popped, np.int32)
+        del self.edges
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Greedy longest-match tokens of each word; all words take a byte at a time, together."""
+        length = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-length, kind="stable")  # those that still have bytes come first
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = (np.cumsum(length) - length)[order]
+        node, total = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+        live = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), side="left")
+        for k, n in enumerate(live.tolist()):
+            todo, byte = np.arange(n), data[first[:n] + k]
+            while len(todo):
+                u = node[todo]
+                spot = np.searchsorted(self.at, u.astype(np.int64) * 256 + byte[todo])
+                found = self.at[np.minimum(spot, len(self.at) - 1)] == u.astype(np.int64) * 256 + byte[todo]
+                node[todo[found]] = self.to[spot[found]]
+                todo, u = todo[~found], u[~found]
+                total[todo] += self.popped[u]
+                node[todo] = self.fail[u]
+        left = np.flatnonzero(node)
+        while len(left):
+            total[left] += self.popped[node[left]]
+            node[left] = self.fail[node[left]]
+            left = left[node[left] != 0]
+        out = np.zeros(len(words), np.int64)
+        out[order] = total
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -99,23 +120,16 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
 
     def kernel(batches):
-        count, cache = automaton(vocabulary_path).count, known_counts(vocabulary_path)
+        counts, cache = automaton(vocabulary_path).counts, known_counts(vocabulary_path)
         for batch in batches:
-            words, tokens, longest = [], [], []
-            for text in batch.column("text").to_pylist():
-                chunks = text.split() if text else []
-                try:
-                    own = [cache[c] for c in chunks]
-                except KeyError:
-                    if len(cache) > CACHE_ENTRIES:
-                        cache.clear()
-                    for c in set(chunks).difference(cache):
-                        cache[c] = count(b" " + c.encode())
-                    own = [cache[c] for c in chunks]
-                words.append(len(own))
-                tokens.append(sum(own))
-                longest.append(max(own, default=0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.int64)) for x in (words, tokens, longest))], ["doc_id", "n_words", "n_tokens", "longest_word_tokens"])
+            chunks = [text.split() if text else [] for text in batch.column("text").to_pylist()]
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+            new = list({c for own in chunks for c in own}.difference(cache))
+            cache.update(zip(new, counts([b" " + c.encode() for c in new]).tolist(), strict=True))
+            each = [[cache[c] for c in own] for own in chunks]
+            words, tokens, longest = map(len, each), map(sum, each), (max(x, default=0) for x in each)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), pa.int64()) for x in (words, tokens, longest))], ["doc_id", "n_words", "n_tokens", "longest_word_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_words long, n_tokens long, longest_word_tokens long")
