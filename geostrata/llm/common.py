@@ -129,11 +129,12 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     """``left`` joined with one row a key of ``right``, whose column ``n`` tells how many rows of ``left`` have it.
 
     Keys with more than ``hot`` rows are broadcast, of which there are at most (rows of ``left``) /
-    ``hot``; their rows stay where they are instead of meeting in one task. ``n`` is dropped.
+    ``hot``; their rows stay where they are instead of meeting in one task. The rest is sorted and merged at
+    every size. ``n`` is dropped.
     """
     hot = HOT_ROWS if hot is None else hot
     many, few = right.where(F.col("n") > hot).drop("n"), right.where(F.col("n") <= hot).drop("n")
-    rest = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(few, on, how)
+    rest = left.join(F.broadcast(many.select(*on)), on, "left_anti").join(few.hint("merge"), on, how)
     return left.join(F.broadcast(many), on).unionByName(rest)
 
 

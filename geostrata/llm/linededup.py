@@ -115,11 +115,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         block = 2**k
         own = windows.where((F.col("size") >= block) & (F.col("size") < 2 * block))
         head = ranks.select("doc_id", "h", "at", "rank")
-        named = own.join(head, same(own, head)).select(own["doc_id"], own["h"], own["at"], "size", F.col("rank").alias("r1"))
+        named = own.join(head.hint("merge"), same(own, head)).select(own["doc_id"], own["h"], own["at"], "size", F.col("rank").alias("r1"))
         if block > 1:
             tail = ranks.select("doc_id", "h", (F.col("at")).alias("at"), F.col("rank").alias("r2"))
             shifted = named.withColumn("to", F.col("at") + F.col("size") - block)
-            named = shifted.join(tail, [shifted["doc_id"].eqNullSafe(tail["doc_id"]), shifted["h"] == tail["h"], shifted["to"] == tail["at"]]).select(shifted["doc_id"], shifted["h"], shifted["at"], "size", "r1", "r2")
+            named = shifted.join(tail.hint("merge"), [shifted["doc_id"].eqNullSafe(tail["doc_id"]), shifted["h"] == tail["h"], shifted["to"] == tail["at"]]).select(shifted["doc_id"], shifted["h"], shifted["at"], "size", "r1", "r2")
         else:
             named = named.withColumn("r2", F.col("r1"))
         named = checkpoint(named)
@@ -129,7 +129,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if 2 * block > longest:
             break
         left, right = ranks.select("doc_id", "h", "at", F.col("rank").alias("r1")), ranks.select("doc_id", "h", (F.col("at") - block).alias("at"), F.col("rank").alias("r2"))
-        pairs = checkpoint(left.join(right, same(left, right)).select(left["doc_id"], left["h"], left["at"], "r1", "r2"))
+        pairs = checkpoint(left.join(right.hint("merge"), same(left, right)).select(left["doc_id"], left["h"], left["at"], "r1", "r2"))
         classes = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         ranks = checkpoint(join_counted(pairs, _ranked(classes, ["r1", "r2"]), ["r1", "r2"]).select("doc_id", "h", "at", "rank"))
         k += 1
@@ -152,7 +152,7 @@ def _with_deleted(docs: DataFrame, min_words: int) -> tuple[DataFrame, str, str]
     deleted, h = names
     found = checkpoint(repeated_lines(docs, min_words)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"), F.col("deleted").alias("_lines"))
     own = docs.withColumn(h, F.xxhash64("text"))
-    joined = own.join(found, own["doc_id"].eqNullSafe(found["_id"]) & (own[h] == found["_of"]), "left")
+    joined = own.join(found.hint("merge"), own["doc_id"].eqNullSafe(found["_id"]) & (own[h] == found["_of"]), "left")
     return joined.select(*(own[c] for c in docs.columns), found["_lines"].alias(deleted)), deleted, h
 
 

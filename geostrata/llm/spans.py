@@ -54,9 +54,13 @@ def spans(text: Column, pattern: str, width: int, whole: bool = False) -> Column
             return F.flatten(every)
         return F.aggregate(F.reverse(every), F.struct(F.lit("").alias("head"), none_at_all.alias("all")), back, lambda a: F.reverse(F.flatten(a["all"])))
 
-    each = F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("piece"), found.alias("value"), F.slice(pieces, 2, F.size(pieces)).alias("next"))
-    # a variable of its own, or the text would be matched anew for every chunk
-    return F.flatten(F.transform(F.array(each), lambda z: F.when(F.size(z) > 0, places(z)).otherwise(none_yet)))
+    def zipped(x: Column) -> Column:
+        n = F.size(x["m"])
+        return F.arrays_zip(F.slice(x["p"], F.lit(1), n).alias("piece"), x["m"].alias("value"), F.slice(x["p"], F.lit(2), n).alias("next"))
+
+    # variables of their own, or the text would be matched anew wherever they stand
+    once = F.transform(F.array(F.struct(pieces.alias("p"), found.alias("m"))), zipped)
+    return F.flatten(F.transform(once, lambda z: F.when(F.size(z) > 0, places(z)).otherwise(none_yet)))
 
 
 def luhn(digits: Column) -> Column:
