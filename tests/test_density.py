@@ -233,3 +233,27 @@ def test_hdbscan_crowded(spark, monkeypatch):
     xy = [(r.uniform(0, 600), r.uniform(0, 600)) for _ in range(150)] + [(r.uniform(2e3, 9e3), r.uniform(0, 9e3)) for _ in range(60)]
     got = [x.label for x in hdbscan(table(spark, xy), 5, 4, 900.0).orderBy("idx").collect()]
     assert got == brute_hdbscan(xy, 5, 4, 900.0)
+
+
+def brute_edges(xy, mass, samples, link):
+    near = [sorted(((xy[i][0] - x) ** 2 + (xy[i][1] - y) ** 2, x // link, y // link, j) for j, (x, y) in enumerate(xy) if j != i) for i in range(len(xy))]
+    near = [[(d**0.5, j) for d, _, _, j in own if d <= link * link] for own in near]
+    core = {i: next((d for k, (d, _) in enumerate(own) if sum(mass[j] for _, j in own[: k + 1]) >= samples), own[-1][0]) for i, own in enumerate(near) if own}
+    return {(min(i, j), max(i, j)): max(core[i], core[j], d, 1.0) for i, own in enumerate(near) for d, j in own[:16]}
+
+
+@pytest.mark.parametrize("weighted, most", [(False, 10_000), (True, 10_000), (True, 20)])
+def test_reachability_edges(spark, monkeypatch, weighted, most):
+    """Nearest neighbours alone, with many at one distance; weights that need more of them, in the end all."""
+    monkeypatch.setattr(hierarchy, "MOST_ASKED", most)
+    monkeypatch.setattr(spatial, "TILE", 40)
+    if most > 20:
+        monkeypatch.setattr(hierarchy, "range_pairs", no_pairs)
+    r = random.Random(5)
+    xy = [(float(r.randrange(-6, 7) * 50), float(r.randrange(0, 13) * 50)) for _ in range(160)] + [(r.uniform(2e3, 9e3), r.uniform(0, 9e3)) for _ in range(40)]
+    mass = [r.choice([0.0, 0.125, 0.25]) if weighted else 1.0 for _ in xy]
+    pts = spark.createDataFrame([(i, *p, m) for i, (p, m) in enumerate(zip(xy, mass, strict=True))], "idx long, x_m double, y_m double, m double")
+    got = {(e.a, e.b): e.w for e in hierarchy.reachability_edges(pts, 4, 400.0, "m" if weighted else None).collect()}
+    want = brute_edges(xy, mass, 4, 400.0)
+    assert got.keys() == want.keys()
+    assert all(got[e] == pytest.approx(want[e], abs=1e-9) for e in want)
