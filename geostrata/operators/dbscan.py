@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geostrata.operators.components import connected_components
 from geostrata.operators.ranking import numbered
-from geostrata.operators.spatial import _col, around, range_pairs
+from geostrata.operators.spatial import _col, around, range_counts, range_pairs
 from geostrata.runtime import checkpoint
 
 # Fixed values of the data model: labels of points outside clusters.
@@ -32,6 +32,8 @@ def neighbour_sums(points: DataFrame, eps: float | str, keys: list[str] | None =
     Neighbours are ``others``, by default the points themselves.
     """
     keys, sums = keys or [], sums or []
+    if others is None and not sums:
+        return range_counts(points, eps, keys)
     pairs = range_pairs(points, eps, keys, others=others, carry=sums)
     return pairs.groupBy(*keys, "idx").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o_{c}").alias(f"sum_{c}") for c in sums))
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geostrata.operators import dbscan as dense
 from geostrata.operators import hdbscan as hierarchy
 from geostrata.operators import regions, spatial
 from geostrata.operators.dbscan import core_points, dbscan
@@ -257,3 +258,18 @@ def test_reachability_edges(spark, monkeypatch, weighted, most):
     want = brute_edges(xy, mass, 4, 400.0)
     assert got.keys() == want.keys()
     assert all(got[e] == pytest.approx(want[e], abs=1e-9) for e in want)
+
+
+def test_range_counts(spark, monkeypatch):
+    """Counts without pairs: crowded and thin blocks, lots, many points at one place and at just the radius."""
+    monkeypatch.setattr(dense, "range_pairs", no_pairs)
+    for name, value in (("BLOCK", 2), ("CROWD", 30), ("LOT", 4)):
+        monkeypatch.setattr(spatial, name, value)
+    r = random.Random(6)
+    xy = [(float(r.randrange(-8, 9) * 50), float(r.randrange(-8, 9) * 50)) for _ in range(260)] + [(r.uniform(-4e3, 4e3), r.uniform(-4e3, 4e3)) for _ in range(60)]
+    rows = [(i, i % 2, *p, 250.0 if i % 2 else 400.0) for i, p in enumerate(xy)] + [(900, 0, None, 1.0, 400.0), (901, 2, 0.0, 0.0, 0.0)]
+    pts = spark.createDataFrame(rows, "idx long, part int, x_m double, y_m double, eps double")
+    got = {(p.part, p.idx): p.n for p in dense.neighbour_sums(pts, "eps", ["part"]).collect()}
+    assert got == {(i % 2, i): sum(j % 2 == i % 2 and (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2 <= (62_500 if i % 2 else 160_000) for j, q in enumerate(xy)) for i, p in enumerate(xy)}
+    same = spark.range(3000).selectExpr("id idx", "100.0D x_m", "-50.0D y_m")
+    assert {p.n for p in dense.neighbour_sums(same, 10.0).collect()} == {3000}
